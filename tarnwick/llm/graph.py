@@ -8,31 +8,35 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+def _flat(forest: DataFrame) -> DataFrame:
+    """forest(node, to), each node once and to smaller than node: paths are halved until every node points to its root."""
+    while True:
+        up = forest.toDF("up", "above")
+        step = forest.join(up, F.col("to") == F.col("up"), "left").select("node", F.coalesce("above", "to").alias("to"), F.col("above").isNotNull().alias("moved"))
+        step = staged(step, "forest")
+        forest = step.select("node", "to")
+        if not step.filter("moved").limit(1).count():
+            return forest
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): for each node that has an edge, the smallest node it reaches; roots are not listed.
 
-    In a round every node with a smaller neighbour moves to its smallest one; edges are relabelled, made
-    distinct and drop out once both ends agree.  A node moves once at most, so the moves form a forest,
-    whose paths are then halved until they are flat.  Aggregates combine before they shuffle and the joins
-    are plain equi-joins on the hooked node, so a node with many edges is split by adaptive execution.
+    In a round every node with a smaller neighbour moves to its smallest one, and paths of moves are made
+    flat; edges are relabelled, made distinct, and drop out once both ends agree.  A node that moved never
+    comes back, so the moves of all rounds form a forest, which is made flat in the end.  Aggregates combine
+    before they shuffle and the joins are plain equi-joins, so a node with many edges is split by adaptive execution.
     """
     live = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
     live = staged(live.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), "edges")
     forest = None
     while live.limit(1).count():
-        moves = staged(live.groupBy("hi").agg(F.min("lo").alias("to")).withColumnRenamed("hi", "node"), "moves")
+        moves = _flat(live.groupBy("hi").agg(F.min("lo").alias("to")).withColumnRenamed("hi", "node"))
         forest = moves if forest is None else forest.unionByName(moves)
         m1, m2 = moves.toDF("n1", "t1"), moves.toDF("n2", "t2")
         live = live.join(m1, F.col("hi") == F.col("n1"), "left").join(m2, F.col("lo") == F.col("n2"), "left")
         u, v = F.coalesce("t1", "hi"), F.coalesce("t2", "lo")
         live = staged(live.select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).filter("hi != lo").distinct(), "edges")
     if forest is None:
-        return live.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    flat = forest.select("node", F.col("to").alias("root"))
-    while True:
-        up = flat.toDF("up", "above")
-        step = flat.join(up, F.col("root") == F.col("up"), "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
-        step = staged(step, "forest")
-        flat = step.select("node", "root")
-        if not step.filter("moved").limit(1).count():
-            return flat
+        return live.toDF("node", "root")
+    return _flat(forest).toDF("node", "root")

@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import archives
+
+    return archives.archived(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixtree
 
@@ -60,7 +72,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_toxicity": op2_toxicity,
+    "op3_archives": op3_archives,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
