@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, strings
 
 #: The dictionary on every executor holds at most so many of the most frequent pre-tokens.
 MOST_FREQUENT = 300_000
@@ -94,7 +94,7 @@ def _frequencies(pre: PreTokens):
                 for p in pre.of_piece(piece):
                     total[p] += n
             found.clear()
-            return pd.DataFrame({"p": list(total.keys()), "freq": list(total.values())})
+            return pd.DataFrame({"p": strings(list(total.keys())), "freq": list(total.values())})
 
         for pdf in batches:
             for text in pdf["text"]:
@@ -114,7 +114,7 @@ def _sizes(pre: PreTokens):
             words = list(pdf["p"])
             for at in range(0, len(words), 1000):
                 n += [len(e.ids) for e in t.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
-            yield pdf.assign(n=n)
+            yield pd.DataFrame({"p": strings(words), "freq": pdf["freq"], "n": n})
 
     return run
 

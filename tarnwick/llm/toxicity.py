@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, sampled_labels
+from .common import remainder, sampled_labels, strings
 
 #: At most so many labelled rows of either class are learnt from.
 SAMPLE_PER_CLASS = 8000
@@ -49,7 +49,7 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
             words = set((text or "").lower().split())
             found[y].update({f for w in words for f in features(w)})
     names = list(found[0].keys() | found[1].keys())
-    yield pd.DataFrame({"feature": names, "neg": [found[0][x] for x in names], "pos": [found[1][x] for x in names]})
+    yield pd.DataFrame({"feature": strings(names), "neg": [found[0][x] for x in names], "pos": [found[1][x] for x in names]})
 
 
 class Model:
