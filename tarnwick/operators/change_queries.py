@@ -1,0 +1,91 @@
+"""Changes as queries: the state after a statement, as DataFrame transforms over slices of the tables, against a SELECT of that state."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..dml import changes
+from ..sources.files import insert_statements, parquet
+
+
+def _nation(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return parquet(spark, sf_dir, "nation").filter(where)
+
+
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _nation(spark, sf_dir, "n_nationkey < 15")
+    new = _nation(spark, sf_dir, "n_nationkey >= 10").withColumn("n_name", F.lower("n_name")).withColumn("__ord", F.col("n_nationkey").cast("long"))
+    return target.unionByName(changes.insert_or_ignore(target, new, [["n_nationkey"]], "__ord").drop("__ord"))
+
+
+def insert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _nation(spark, sf_dir, "n_nationkey < 15")
+    new = _nation(spark, sf_dir, "n_nationkey >= 10").withColumn("n_name", F.lower("n_name")).withColumn("__ord", F.col("n_nationkey").cast("long"))
+    kept, added = changes.insert_or_replace(target, new, [["n_nationkey"]], "__ord")
+    return kept.unionByName(added.drop("__ord"))
+
+
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = parquet(spark, sf_dir, "customer").filter("c_custkey <= 800").select("c_custkey", "c_name", "c_nationkey")
+    new = parquet(spark, sf_dir, "customer").filter("c_custkey > 500").select("c_custkey", F.upper("c_name").alias("c_name"), F.lit(7).alias("c_nationkey"))
+    kept, updated, added = changes.upsert(target, new, ["c_custkey"], {"c_name": "excluded.c_name", "c_nationkey": "t.c_nationkey + excluded.c_nationkey"}, "t.c_custkey % 2 = 0")
+    return kept.unionByName(updated).unionByName(added)
+
+
+def update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = changes.numbered(parquet(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
+    best = target.join(parquet(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy(changes.RID).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return changes.apply_updates(target, best, ["c_acctbal"]).drop(changes.RID)
+
+
+def delete_using(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = parquet(spark, sf_dir, "orders"), parquet(spark, sf_dir, "customer").filter("c_acctbal < 0")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey", "o_custkey")
+
+
+def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched and negative: deleted; matched: balance added; not matched and key even: inserted."""
+    target = changes.numbered(parquet(spark, sf_dir, "customer").filter("c_custkey <= 900").select("c_custkey", "c_acctbal"))
+    source = parquet(spark, sf_dir, "customer").filter("c_custkey > 600").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("b"))
+    source = source.withColumn("__sid", F.col("k"))
+    pairs = changes.merge_actions(target.join(source, F.col("c_custkey") == F.col("k")), "__sid", ["c_custkey"])
+    gone = pairs.filter("b < 0").select(changes.RID)
+    changed = pairs.filter("b >= 0").select(changes.RID, (F.col("c_acctbal") + F.col("b")).alias("c_acctbal"))
+    added = source.join(pairs.select("__sid"), "__sid", "left_anti").filter("k % 2 = 0").select(F.col("k").alias("c_custkey"), F.col("b").alias("c_acctbal"))
+    state = changes.apply_updates(target.join(gone, changes.RID, "left_anti"), changed, ["c_acctbal"]).drop(changes.RID)
+    return state.unionByName(added).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+def returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DELETE ... RETURNING: the rows that go."""
+    return parquet(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_suppkey", F.upper("s_name").alias("who"))
+
+
+def export_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insert_statements(parquet(spark, sf_dir, "region"), "region")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "dml_insert_ignore": insert_ignore,
+    "dml_insert_replace": insert_replace,
+    "dml_upsert": upsert,
+    "dml_update_from": update_from,
+    "dml_delete_using": delete_using,
+    "dml_merge": merge,
+    "dml_returning": returning,
+    "export_inserts": export_inserts,
+}
+
+ORACLE: dict[str, str] = {
+    "dml_insert_ignore": "SELECT * FROM nation WHERE n_nationkey < 15 UNION ALL SELECT n_nationkey, lower(n_name), n_regionkey FROM nation WHERE n_nationkey >= 15",
+    "dml_insert_replace": "SELECT * FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, lower(n_name), n_regionkey FROM nation WHERE n_nationkey >= 10",
+    "dml_upsert": "SELECT c_custkey, CASE WHEN c_custkey > 800 OR (c_custkey > 500 AND c_custkey % 2 = 0) THEN upper(c_name) ELSE c_name END AS c_name, CAST(CASE WHEN c_custkey > 800 THEN 7 WHEN c_custkey > 500 AND c_custkey % 2 = 0 THEN c_nationkey + 7 ELSE c_nationkey END AS INTEGER) AS c_nationkey FROM customer",
+    "dml_update_from": "SELECT c_custkey, c_nationkey, coalesce((SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey), c_acctbal) AS c_acctbal FROM customer",
+    "dml_delete_using": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)",
+    "dml_merge": "SELECT c_custkey, round(CASE WHEN c_custkey BETWEEN 601 AND 900 THEN c_acctbal + c_acctbal ELSE c_acctbal END, 2) AS c_acctbal FROM customer WHERE c_custkey <= 600 OR (c_custkey <= 900 AND c_acctbal >= 0) OR (c_custkey > 900 AND c_custkey % 2 = 0)",
+    "dml_returning": "SELECT s_suppkey, upper(s_name) AS who FROM supplier WHERE s_acctbal < 0",
+    "export_inserts": """SELECT 'INSERT INTO "region" ("r_regionkey", "r_name") VALUES (' || r_regionkey || ', ''' || replace(r_name, '''', '''''') || ''');' AS value FROM region""",
+}
