@@ -80,6 +80,7 @@ def grouped(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("moved"))
     rooted = staged(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.max("moved").alias("many")).filter("many").select(F.col("root").alias("r"), "component_id")
+    least = staged(least, "least")  # combined before it is dealt; the join below is then a plain one, whose hot roots are split
     return rooted.join(least, F.col("root") == F.col("r"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "root")
 
 
