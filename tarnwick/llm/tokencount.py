@@ -27,6 +27,8 @@ from .common import staged, strings
 #: The dictionary on every executor holds at most so many of the most frequent pre-tokens.
 MOST_FREQUENT = 300_000
 OVER = 2048
+#: A task hands on its counts when it holds so many.
+FLUSH = 250_000
 #: White space as the tokenizers' regular expressions know it (Python's has four control characters more).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -99,7 +101,7 @@ def _frequencies(pre: PreTokens):
         for pdf in batches:
             for text in pdf["text"]:
                 found.update(pre.pieces(text)[0])
-                if len(found) > 600_000:
+                if len(found) > FLUSH:
                     yield out()
         yield out()
 
@@ -135,11 +137,23 @@ def tail_sums(rows: DataFrame, table: DataFrame, key: str, **values) -> DataFram
     return joined.groupBy("row").agg(*[F.sum(v * F.col("n")).alias(k) for k, v in values.items()]).withColumnRenamed("row", "__row")
 
 
-def counted(docs: DataFrame, path: str, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+def most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, at most so many: a histogram of the counts' logarithms gives the least count that is taken."""
+    size = F.floor(F.log2(count) * 8)
+    least, held = None, 0
+    for r in sorted(table.groupBy(size.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.b):
+        held += r.n
+        if held > most:
+            break
+        least = r.b
+    return table.filter(F.lit(False) if least is None else size >= least)
+
+
+def counted(docs: DataFrame, path: str, most: int = MOST_FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs."""
     pre = PreTokens(path)
     sizes = staged(distinct_pretokens(docs, pre), "pretokens")
-    known = {r.p: r.n for r in sizes.orderBy(F.desc("freq"), "p").limit(most_frequent).toLocalIterator()}
+    known = {r.p: r.n for r in most_frequent(sizes, "freq", most).select("p", "n").toLocalIterator()}
     frequent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
