@@ -46,6 +46,18 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def hash_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most so many rows: those of the smallest hashes of the keys.
+
+    Rows far above the wanted share are filtered where they lie, so that the task that orders the rest
+    reads about most rows however many partitions there are.
+    """
+    n, place = df.count(), F.pmod(F.xxhash64(*keys), F.lit(1 << 52))
+    if n > most:
+        df = df.filter(place < int(min(1.0, (1.3 * most + 300) / n) * (1 << 52)))
+    return df.orderBy(place, *keys).limit(most)
+
+
 def sampled_labels(labels: DataFrame, column: str, modulus: int, held: int, per_class: int) -> DataFrame:
     """At most per_class rows (doc_id, y) of either label, by the order of a hash of doc_id.
 
@@ -58,7 +70,7 @@ def sampled_labels(labels: DataFrame, column: str, modulus: int, held: int, per_
         .groupBy("doc_id")
         .agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     )
-    parts = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    parts = [hash_sample(ids.filter(F.col("y") == y), per_class, "doc_id") for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hash_sample, staged
 
 ORDERINGS, PROJECTED, BITS, WINDOW, RANGES = 8, 4, 10, 0.085, 50
 #: The quantiles and the ranges' borders are fitted on at most so many rows.
@@ -108,7 +108,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, orderings: int = OR
     ranges = 1 if n <= SMALL else RANGES
     orderings = 1 if ranges == 1 else orderings
     around = int(np.ceil(window * ranges)) if ranges > 1 else 0
-    sample = np.array([r.v for r in points.orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).collect()])
+    sample = np.array([r.v for r in hash_sample(points.select("gid", "v"), SAMPLE, "gid").collect()])
     index = Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), sample.shape[1], ranges, orderings)
     parts = -(-n // (ranges * BLOCK))  # a range's rows are dealt to so many tasks,
     decks = -(-n_queries * (2 * around + 1) // (ranges * BLOCK))  # and so are its queries

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vptree
-from .common import staged
+from .common import hash_sample, staged
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -58,7 +58,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): a forest that spans all links of the distinct fingerprints in column fp."""
     count = distinct.count()
     leaves = max(1, min(MOST_SHARDS, -(-count // SHARD)))
-    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if leaves > 1 else []
+    sample = [r.fp for r in hash_sample(distinct.select("fp"), SAMPLE, "fp").collect()] if leaves > 1 else []
     tree = vptree.Tree(np.array(sample, dtype=np.int64).view(np.uint64), leaves, radius)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
