@@ -277,4 +277,4 @@ def archived(pages: DataFrame) -> DataFrame:
     arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
-    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
