@@ -101,7 +101,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids = staged(grouped(fps, radius), "components")
     keep = ids.select(F.col("component_id").alias("doc_id")).distinct()
     odd = staged(fps.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "odd-ids")
-    kept = docs.join(keep.filter("doc_id is not null"), "doc_id", "left_semi")
+    # sorted and merged at every size: a join that is broadcast while it is small would only grow a shuffle later
+    kept = docs.join(keep.filter("doc_id is not null").hint("merge"), "doc_id", "left_semi")
     if not odd.limit(1).count():
         return kept
     again = docs.join(odd.withColumnRenamed("doc_id", "__odd"), F.col("doc_id").eqNullSafe(F.col("__odd")), "left_semi")
