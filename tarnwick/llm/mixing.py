@@ -147,7 +147,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     plan = staged(planned(docs).filter("copies > 0 or same > 1").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "rn", "same", F.col("copies").alias("__c")), "plan")
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    once = docs.join(plan.filter("same = 1"), on)
+    once = docs.join(plan.filter("same = 1").hint("merge"), on)  # alike at every size
     out = once.withColumn("__i", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
     if plan.filter("same > 1").limit(1).count():
         same = docs.join(plan.filter("same > 1 and rn = 1"), on, "left_semi").withColumn("__size", size)
