@@ -70,7 +70,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = vptree.links(pdf["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return distinct.select("fp").mapInPandas(route, "leaf int, fp long").groupBy("leaf").applyInPandas(search, "a long, b long")
+    # a shard is small but takes seconds: tasks are made by the number of shards, not by their bytes
+    placed = distinct.select("fp").mapInPandas(route, "leaf int, fp long").repartition(-(-leaves // 8), "leaf")
+    return placed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
 def grouped(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
