@@ -101,7 +101,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
     "window_lag_lead": ("SELECT o_orderkey, LAG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, LEAD(o_orderkey, 2, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b, o_totalprice - LAG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS d FROM orders", None),
     "window_aggregates": (
-        "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS s, ROUND(AVG(o_totalprice) OVER (PARTITION BY o_custkey), 3) AS a, MIN(o_orderdate) OVER (PARTITION BY o_custkey) AS lo, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS hi FROM orders",
+        "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS s, ROUND(AVG(o_totalprice) OVER (PARTITION BY o_custkey), 7) AS a, MIN(o_orderdate) OVER (PARTITION BY o_custkey) AS lo, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS hi FROM orders",
         None,
     ),
     "window_frames": (
