@@ -21,6 +21,8 @@ from .common import let, staged
 SPAN, GRAM = 10, 5
 #: A side is broadcast only if it has at most so many rows; beyond, it is joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: The same for rows that carry an item's words.
+BROADCAST_WIDE_ROWS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -77,8 +79,8 @@ def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM)
     marks = marks.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_marks(F.col("text"), short, span, gram)).alias("mark"))
     pairs = marks.join(F.broadcast(item_marks) if few else item_marks, "mark")
     pairs = pairs.groupBy("doc_id", "text_hash", "key").agg(F.collect_set("mark").alias("marks"))
-    pairs = staged(pairs.join(F.broadcast(keyed) if n_items <= BROADCAST_ROWS else keyed, "key"), "pairs")
-    some = pairs.count() <= BROADCAST_ROWS
+    pairs = staged(pairs.join(F.broadcast(keyed) if n_items <= BROADCAST_WIDE_ROWS else keyed, "key"), "pairs")
+    some = pairs.count() <= BROADCAST_WIDE_ROWS
     pairs = pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     found = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     found = found.join(F.broadcast(pairs) if some else pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))

@@ -78,6 +78,7 @@ def test_decontamination_odd_rows_and_short_items(spark, broadcast, monkeypatch)
     from tarnwick.llm import decontamination
 
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 200_000 if broadcast else -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_WIDE_ROWS", 20_000 if broadcast else -1)
     items = spark.createDataFrame(
         [(1, "one two three four five six seven eight nine ten"), (2, "TEN eleven"), (3, "b"), (4, None), (5, ""), (2, "TEN eleven"), (9, "É b c d e"), (10, "nine ten eleven y z")], "item_id long, text string"
     )
