@@ -798,6 +798,18 @@ class Engine:
     def bulk_delete(self, table: str, where: str | None = None, params: dict | None = None) -> int:
         return self.execute(f"DELETE FROM {table}" + (f" WHERE {where}" if where else ""), params).affected
 
+    def vacuum(self) -> None:
+        """Delete what statements wrote in between and snapshots that no table lists; results not yet read must not be needed any more."""
+        files, root = self.catalog.files, self.catalog.root
+        live = {v["path"] for t in self.catalog.state["tables"].values() for v in t["versions"]}
+        for name in files.names(root):
+            if name.startswith("tmp-"):
+                files.delete(f"{root}/{name}")
+            elif name != "catalog.json":
+                for snapshot in files.names(f"{root}/{name}"):
+                    if f"{root}/{name}/{snapshot}" not in live:
+                        files.delete(f"{root}/{name}/{snapshot}")
+
     def dump(self, folder: str) -> list[str]:
         """Definitions and INSERT statements of all tables, parents before children; gives the tables in that order."""
         from .sources.files import export_sql

@@ -97,6 +97,8 @@ def test_transactions_and_time_travel(db):
     db.execute("BEGIN; UPDATE t SET x = 0; ROLLBACK")
     assert all_of(db, "SELECT * FROM t") == [(1,), (2,), (3,)]
     assert [r.x for r in db.as_of("t", moment).collect()] == [1]
+    db.vacuum()
+    assert not [n for n in db.catalog.files.names(db.catalog.root) if n.startswith("tmp-")]
     again = Engine(db.spark, db.catalog.root)
     assert all_of(again, "SELECT * FROM t") == [(1,), (2,), (3,)]
     with pytest.raises(EngineError):
