@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +37,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def strings(values: list[str]) -> pd.Series:
-    """A column of plain objects: pandas' own string type may hand Arrow several chunks, which Spark refuses."""
-    return pd.Series(values, dtype=object)
-
-
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, strings
+from .batches import strings
+from .common import staged
 
 #: The dictionary on every executor holds at most so many of the most frequent pre-tokens.
 MOST_FREQUENT = 300_000

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, sampled_labels, strings
+from .batches import strings
+from .common import remainder, sampled_labels
 
 #: At most so many labelled rows of either class are learnt from.
 SAMPLE_PER_CLASS = 8000
