@@ -27,10 +27,10 @@ from .common import remainder, sampled_labels
 SAMPLE_PER_CLASS = 8000
 #: At most so many features are kept, by their likelihood ratio.
 FEATURES = 4096
-#: The least log-likelihood ratio of a feature: some four or five documents, all of them toxic.
-LEAST_RATIO = 8.0
-#: Labelled rows that agree in so many first characters are learnt from once.
-OPENING = 40
+#: The least log-likelihood ratio of a feature: some six documents, all of them toxic.
+LEAST_RATIO = 12.0
+#: Labelled rows that agree in so many first and last characters are learnt from once.
+ENDS = 60
 PREFIX = 4
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -126,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
     """Learn from a bounded sample of labelled rows outside the held-out remainder."""
     rows = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", modulus, held, per_class)), "doc_id")
     # copies would make the words of one document look like many documents' words
-    rows = rows.groupBy(F.substring("text", 1, OPENING).alias("opening"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*", "y")
+    ends = F.concat(F.left("text", F.lit(ENDS)), F.right("text", F.lit(ENDS)))
+    rows = rows.groupBy(ends.alias("ends"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*", "y")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:

@@ -274,7 +274,7 @@ def test_classifiers(spark, module, column, modulus, held):
 def test_offending_sentences(spark):
     from tarnwick.llm import toxicity
 
-    rows = [(i, ("All is calm. " * 5) + ("You are vile! " if i % 4 == 0 else "You are kind! ") + "The end is near.") for i in range(400)]
+    rows = [(i, f"Text {i}. " + ("All is calm. " * 5) + ("You are vile! " if i % 4 == 0 else "You are kind! ") + "The end is near.") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
