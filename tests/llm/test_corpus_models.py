@@ -210,6 +210,40 @@ def test_states_are_distributions():
     assert states[0] == 0 and states[1] > 0 and states[ends[0]] == 0 and list(ends) == [51, 52, 56] and states[54] == 0
 
 
+def test_scores_equal_the_tree(spark, sf):
+    """Every context and next word seen twice is weighed, whatever its share of the tokens: as the tree in one place has it."""
+    from tarnwick.llm import suffixtree
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(9000 + i, "zqa zqb zqc zqd") for i in range(3)] + [(9100 + i, "zqd zqb zqa zqc") for i in range(3)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    texts = [suffixtree.words_of(t) for d, t in rows if not held(d)]
+    c = Counter(w for ws in texts for w in ws)
+    total, names = sum(c.values()) + len(texts), sorted(c)
+    ids = {w: i for i, w in enumerate(names, 1)}
+    count = np.array([len(texts), *[c[w] for w in names]], dtype=float)
+    tree = suffixtree.Tree(ids, np.log10((count + 0.1) / (total + 0.1 * (len(names) + 2))))
+    seqs, size = [[*[ids[w] for w in ws], 0] for ws in texts], {i: c[w] for w, i in ids.items()}
+    key = lambda xs: sum(x * tree.span ** (len(xs) - 1 - k) for k, x in enumerate(xs))
+    for depth in (1, 2):
+        joint = Counter((key(s[i - depth : i]), s[i]) for s in seqs for i in range(depth, len(s)))
+        joint = {k: n for k, n in joint.items() if n >= 2}
+        keys = np.array(sorted({k for k, _ in joint}))
+        owner = np.array([np.searchsorted(keys, k) for k, _ in joint])
+        tree.grow(keys, np.array([size[k] for k in keys], dtype=float), owner, np.array([w for _, w in joint]), np.array(list(joint.values()), dtype=float))
+        size = {k * tree.span + w: n for (k, w), n in joint.items() if w}
+    unknown = math.log10(0.1 / (total + 0.1 * (len(names) + 2)))
+    want = {}
+    for d, t in rows:
+        seq, _, _ = tree.sequence([t])
+        want[d] = tree.log10(tree.states(seq), seq).sum() + (seq < 0).sum() * unknown
+    for most in (suffixtree.MOST_FREQUENT, 50):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(suffixtree, "MOST_FREQUENT", most)
+            got = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(rows, "doc_id long, text string"), depth=2).collect()}
+        assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-6
+
+
 # token counts
 
 
