@@ -4,8 +4,11 @@ A document is a bag of sentences.  A sentence's score is a logistic function of
 beginnings; the sentences' scores combine by noisy-or into the document's.  Only document labels are
 learnt from; the sentence scores that follow locate the offending sentences.
 
+Rare features are left to the penalty on weights, which cross-validation over the training rows chooses.
+
 Cases: null and empty texts have no sentences and get the leak probability as score; repeated rows are
-scored each; without labelled rows of either class the score is the smoothed rate of label 1.
+scored each; without labelled rows of either class, or where no word is more frequent under label 1, the
+score is the smoothed rate of label 1.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from .common import remainder, sampled_labels
 SAMPLE_PER_CLASS = 8000
 #: At most so many features are kept, by their likelihood ratio.
 FEATURES = 4096
-#: The least log-likelihood ratio of a feature: some six documents, all of them toxic.
-LEAST_RATIO = 12.0
+#: The least log-likelihood ratio of a feature, below which it is not tried unless there is none above.
+LEAST_RATIO = 2.0
+#: Penalties on squared weights, of which FOLDS-fold cross-validation chooses.
+PENALTIES, FOLDS = (1e-5, 1e-4, 1e-3), 3
 #: Labelled rows that agree in so many first and last characters are learnt from once.
 ENDS = 60
 PREFIX = 4
@@ -50,9 +55,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found = (Counter(), Counter())
     for pdf in batches:
-        for text, y in zip(pdf["text"], pdf["y"], strict=True):
+        for text, y, n in zip(pdf["text"], pdf["y"], pdf["n"], strict=True):
             words = set((text or "").lower().split())
-            found[y].update({f for w in words for f in features(w)})
+            for f in {f for w in words for f in features(w)}:
+                found[y][f] += n
     names = list(found[0].keys() | found[1].keys())
     yield pd.DataFrame({"feature": strings(names), "neg": [found[0][x] for x in names], "pos": [found[1][x] for x in names]})
 
@@ -97,14 +103,14 @@ class Model:
         return 1 - clean, spans
 
 
-def _learn(bags: list[tuple[int, list[tuple[str, ...]]]], start: dict[str, float], steps: int = 300) -> Model:
-    """Maximum likelihood of the document labels under noisy-or, by Adam on the sentence weights."""
+def _learn(bags: list[tuple[int, int, list[tuple[str, ...]]]], start: dict[str, float], penalty: float, steps: int = 300) -> Model:
+    """Penalised likelihood of the document labels under noisy-or, by Adam on the sentence weights; bags: (label, copies, sentences)."""
     names = {f: i for i, f in enumerate(sorted(start))}
-    y = np.array([b[0] for b in bags], dtype=float)
-    inst_doc = np.array([d for d, (_, xs) in enumerate(bags) for _ in xs], dtype=np.int64)
-    sizes = np.array([len(x) for _, xs in bags for x in xs], dtype=np.int64)
+    y, copies = np.array([b[0] for b in bags], dtype=float), np.array([b[1] for b in bags], dtype=float)
+    inst_doc = np.array([d for d, (_, _, xs) in enumerate(bags) for _ in xs], dtype=np.int64)
+    sizes = np.array([len(x) for _, _, xs in bags for x in xs], dtype=np.int64)
     inst = np.repeat(np.arange(len(sizes)), sizes)
-    feat = np.array([names[f] for _, xs in bags for x in xs for f in x], dtype=np.int64)
+    feat = np.array([names[f] for _, _, xs in bags for x in xs for f in x], dtype=np.int64)
     theta = np.array([start[f] for f in sorted(start)] + [-2.0, -4.0])
     m1, m2, n = np.zeros_like(theta), np.zeros_like(theta), len(names)
     for step in range(1, steps + 1):
@@ -113,22 +119,46 @@ def _learn(bags: list[tuple[int, list[tuple[str, ...]]]], start: dict[str, float
         lam = 1 / (1 + math.exp(-leak))
         log_q = np.bincount(inst_doc, weights=np.log1p(-np.minimum(s, 1 - 1e-9)), minlength=len(y)) + math.log1p(-lam)
         q = np.exp(log_q)
-        slope = np.where(y > 0.5, -q / np.maximum(1 - q, 1e-6), 1.0)
+        slope = np.where(y > 0.5, -q / np.maximum(1 - q, 1e-6), 1.0) * copies
         gz = slope[inst_doc] * s
-        g = np.concatenate([np.bincount(feat, weights=gz[inst], minlength=n), [gz.sum(), slope.sum() * lam]]) / len(y)
+        g = np.concatenate([np.bincount(feat, weights=gz[inst], minlength=n), [gz.sum(), slope.sum() * lam]]) / copies.sum()
+        g[:n] += penalty * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        theta[:n] *= 1 - 5e-5  # decay apart from the gradient, whose scale Adam removes
         theta = theta - 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return Model({f: float(theta[i]) for f, i in names.items()}, float(theta[n]), float(1 / (1 + math.exp(-theta[n + 1]))))
 
 
+def _loss(model: Model, bags: list[tuple[int, int, list[tuple[str, ...]]]]) -> float:
+    """Minus the log likelihood of the labels."""
+    out = 0.0
+    for y, n, xs in bags:
+        clean = 1 - model.leak
+        for x in xs:
+            clean *= 1 - 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + sum(model.weights[f] for f in x)))))
+        out -= n * math.log(max(1e-6, 1 - clean if y else clean))
+    return out
+
+
+def _chosen_penalty(bags: list[tuple[int, int, list[tuple[str, ...]]]], start: dict[str, float]) -> float:
+    """The penalty of the least loss on rows left out; the least one where a class has fewer rows than there are folds."""
+    place = [0] * len(bags)
+    for y in (0, 1):
+        own = [i for i, b in enumerate(bags) if b[0] == y]
+        if len(own) < FOLDS:
+            return PENALTIES[0]
+        for k, i in enumerate(own):
+            place[i] = k % FOLDS
+    part = lambda k, out: [b for b, p in zip(bags, place, strict=True) if (p == k) == out]
+    return min(PENALTIES, key=lambda c: sum(_loss(_learn(part(k, False), start, c, 150), part(k, True)) for k in range(FOLDS)))
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from a bounded sample of labelled rows outside the held-out remainder."""
     rows = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", modulus, held, per_class)), "doc_id")
     # copies would make the words of one document look like many documents' words
     ends = F.concat(F.left("text", F.lit(ENDS)), F.right("text", F.lit(ENDS)))
-    rows = rows.groupBy(ends.alias("ends"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*", "y")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = rows.groupBy(ends.alias("ends"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*", "y", F.lit(1).alias("n"))
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return Model({}, -9.0, (pos + 1) / (pos + neg + 2))
@@ -137,19 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
     part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
     whole = a + b
     ratio = part(a, whole * (pos / (pos + neg))) + part(b, whole * (neg / (pos + neg)))
-    chosen = (
-        rows.select("text", "y")
+    counts = (
+        rows.select("text", "y", "n")
         .mapInPandas(_document_frequencies, "feature string, neg long, pos long")
         .groupBy("feature")
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .filter((a >= 2) & (rate >= 3))
         .withColumn("g", ratio)
-        .filter(F.col("g") > LEAST_RATIO)
-        .orderBy(F.desc("g"), "feature")
-        .limit(FEATURES)
-        .select("feature", rate.alias("rate"))
-        .collect()
+        .filter(rate > 1)
     )
+    for enough in ((a >= 2) & (rate >= 3) & (F.col("g") > LEAST_RATIO), F.lit(True)):
+        chosen = counts.filter(enough).orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature", rate.alias("rate")).collect()
+        if chosen:
+            break
     start = {r.feature: math.log(r.rate) / 2 for r in chosen}
     if not start:
         return Model({}, -9.0, (pos + 1) / (pos + neg + 2))
@@ -157,10 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "bag": [[list(x) for x in sorted({f for _, _, f in finder.instances(t)})] for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "n": pdf["n"], "bag": [[list(x) for x in sorted({f for _, _, f in finder.instances(t)})] for t in pdf["text"]]})
 
-    got = sorted(rows.mapInPandas(bags, "doc_id long, y int, bag array<array<string>>").collect(), key=lambda r: r.doc_id)
-    return _learn([(r.y, [tuple(x) for x in r.bag]) for r in got], start)
+    got = sorted(rows.mapInPandas(bags, "doc_id long, y int, n long, bag array<array<string>>").collect(), key=lambda r: r.doc_id)
+    learnt = [(r.y, r.n, [tuple(x) for x in r.bag]) for r in got]
+    return _learn(learnt, start, _chosen_penalty(learnt, start))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

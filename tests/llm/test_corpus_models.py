@@ -318,6 +318,21 @@ def test_offending_sentences(spark):
         assert [text[s["begin"] : s["end"]].strip() for s in r.offending] == (["You are vile!"] if r.doc_id % 4 == 0 else [])
 
 
+def test_few_labels_make_no_constant_model(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tarnwick.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.classify(docs, labels)
+    found = {r.toxic: r.n for r in out.join(labels, "doc_id").filter("held_out and predicted = 1").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert found.get(1, 0) >= 1 and found.get(0, 0) <= 2
+    one = spark.createDataFrame([(1, "all is vile"), (2, "all is kind"), (3, "vile")], "doc_id long, text string")
+    model = toxicity.train(one, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), modulus=1, held=1)
+    got = {r.doc_id: r.score for r in toxicity.scored(one, model).collect()}
+    assert got[1] >= 0.5 > got[2] and got[3] >= 0.5
+
+
 def test_compiled_rules_equal_the_model(spark):
     from pyspark.sql import functions as F
 
