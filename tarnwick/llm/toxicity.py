@@ -4,7 +4,8 @@ A document is a bag of sentences.  A sentence's score is a logistic function of
 beginnings; the sentences' scores combine by noisy-or into the document's.  Only document labels are
 learnt from; the sentence scores that follow locate the offending sentences.
 
-Rare features are left to the penalty on weights, which cross-validation over the training rows chooses.
+Labelled copies (equal words in equal order, whatever their case) are read once and count as often as they
+occur.  Rare features are left to the penalty on weights, which cross-validation over the training rows chooses.
 
 Cases: null and empty texts have no sentences and get the leak probability as score; repeated rows are
 scored each; without labelled rows of either class, or where no word is more frequent under label 1, the
@@ -34,8 +35,6 @@ FEATURES = 4096
 LEAST_RATIO = 2.0
 #: Penalties on squared weights, of which FOLDS-fold cross-validation chooses.
 PENALTIES, FOLDS = (1e-5, 1e-4, 1e-3), 3
-#: Labelled rows that agree in so many first and last characters are learnt from once.
-ENDS = 60
 PREFIX = 4
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -155,9 +154,8 @@ def _chosen_penalty(bags: list[tuple[int, int, list[tuple[str, ...]]]], start: d
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from a bounded sample of labelled rows outside the held-out remainder."""
     rows = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", modulus, held, per_class)), "doc_id")
-    # copies would make the words of one document look like many documents' words
-    ends = F.concat(F.left("text", F.lit(ENDS)), F.right("text", F.lit(ENDS)))
-    rows = rows.groupBy(ends.alias("ends"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*", "y", F.lit(1).alias("n"))
+    words = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
+    rows = rows.groupBy(words.alias("words"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r"), F.count("*").alias("n")).select("r.*", "y", "n")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:

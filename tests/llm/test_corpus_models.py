@@ -333,6 +333,24 @@ def test_few_labels_make_no_constant_model(spark, sf):
     assert got[1] >= 0.5 > got[2] and got[3] >= 0.5
 
 
+def test_labelled_texts_are_told_apart_by_their_middles(spark):
+    """Equal texts count as often as they occur; texts that agree in header and footer are texts of their own."""
+    from tarnwick.llm import toxicity
+
+    edge = "A page of the same long header and footer on every document. "
+    plain = [(i, ("All is calm. " * 5) + ("You are vile! " if i % 4 == 0 else "You are kind! ") + "The end is near.") for i in range(400)]
+    bad, good = ["scum", "moron", "vile", "trash"], ["calm", "kind", "warm", "fair"]
+    framed = [(i, f"{edge}Note {i} says that you are {(bad if i % 4 == 0 else good)[i // 4 % 4]}! {edge}") for i in range(400)]
+    for rows in (plain, framed):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+        out = toxicity.scored(docs, toxicity.train(docs, labels)).collect()
+        assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in out)
+        for r in out:
+            spans = [dict(rows)[r.doc_id][s["begin"] : s["end"]] for s in r.offending]
+            assert len(spans) == (r.doc_id % 4 == 0) and all(any(w in x for w in bad) for x in spans)
+
+
 def test_compiled_rules_equal_the_model(spark):
     from pyspark.sql import functions as F
 
