@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Arrow batches hold at most so many bytes, whatever the rows' number: very long texts come in small batches.
+BATCH_BYTES = 32 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands Python batches of bounded bytes from now on (unless it sets a bound of its own)."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1), f"{(1 << 31) - 1}b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,7 +41,17 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tarnwick_folder = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_tarnwick_folder", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
