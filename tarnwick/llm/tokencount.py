@@ -1,9 +1,10 @@
 """Token counts of whole texts, exactly as a public tokenizer file gives them, without making ids of the texts.
 
 A BPE tokenizer with a pre-tokenizer merges inside pre-tokens only, so a text's count is the sum over its
-pre-tokens.  Every distinct pre-token of the corpus is encoded once.  The most frequent ones go to the
-executors as a dictionary of bounded size; a document's frequencies of all other pre-tokens are joined to
-the table of distinct pre-tokens and summed.
+pre-tokens.  Pre-tokens never span white space: texts are cut there in whole Arrow batches, every distinct
+piece is cut into pre-tokens once, and every distinct pre-token is encoded once.  A document's frequencies
+of its pieces are joined to the pieces' counts and summed: the most frequent pieces' counts go to the
+executors as a dictionary of bounded size, all others are joined.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; the special tokens' strings count as one token where
 the library's default takes them so; repeated rows and repeated or null ids are rows of their own.
@@ -14,22 +15,20 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import strings
-from .common import staged
+from .common import in_batches, staged
 
 #: The dictionary on every executor holds at most so many of the most frequent pre-tokens.
 MOST_FREQUENT = 300_000
 OVER = 2048
-#: A task hands on its counts when it holds so many.
-FLUSH = 250_000
 #: White space as the tokenizers' regular expressions know it (Python's has four control characters more).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -49,7 +48,7 @@ class PreTokens:
             raise ValueError("unsupported normalizer")
         self.path, self.pattern = path, split["pattern"]["Regex"].replace(r"\s", _SPACE)
         special = [t["content"] for t in spec["added_tokens"]]
-        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or len(t["content"].split()) != 1 for t in spec["added_tokens"]):
             raise ValueError("unsupported special token")
         self.special = "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))
 
@@ -57,27 +56,16 @@ class PreTokens:
         return {k: self.__dict__[k] for k in ("path", "pattern", "special")}
 
     def prepare(self) -> PreTokens:
-        self._find, self._special, self._known = regex.compile(self.pattern).findall, regex.compile(self.special), {}
+        self._find, self._special = regex.compile(self.pattern).findall, regex.compile(self.special)
         return self
 
-    def of_piece(self, piece: str) -> tuple[str, ...]:
-        """Pre-tokens of a piece between ASCII white space; no pre-token spans that."""
-        got = self._known.get(piece)
-        if got is None:
-            if len(self._known) > 400_000:
-                self._known.clear()
-            low = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final sigma
-            got = self._known[piece] = tuple(self._find("".join(map(str.lower, low)) if "İ" in low else low.lower()))
-        return got
-
-    def pieces(self, text: str | None) -> tuple[list[str], int]:
-        """Pieces between ASCII white space, and the number of special tokens cut out."""
-        if not text:
-            return [], 0
-        found = self._special.findall(text) if self.special else ()
-        if found:
-            text = "\n".join(self._special.split(text))
-        return [b.decode() for b in text.encode("utf-8", "replace").split()], len(found)
+    def of_piece(self, piece: str) -> tuple[int, list[str]]:
+        """Special tokens and pre-tokens of a piece between ASCII white space; neither spans that."""
+        found, out = self._special.findall(piece) if self.special else (), []
+        for part in self._special.split(piece) if found else (piece,):
+            low = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final sigma
+            out += self._find("".join(map(str.lower, low)) if "İ" in low else low.lower())
+        return len(found), out
 
     def encoder(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,46 +74,57 @@ class PreTokens:
         return Tokenizer.from_file(self.path)
 
 
-def _frequencies(pre: PreTokens):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def pieces_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """For each piece between ASCII white space the number of its text, and the pieces; an empty piece stands at white space at an end."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    begins = lists.offsets.to_numpy()
+    return np.repeat(np.arange(len(texts)), np.diff(begins)), lists.flatten().dictionary_encode()
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pieces of each batch, and how often they occur."""
+    for batch in batches:
+        _, pieces = pieces_of(batch.column(0))
+        freq = np.bincount(pieces.indices.to_numpy(), minlength=len(pieces.dictionary))
+        yield pa.RecordBatch.from_arrays([pieces.dictionary.cast(pa.string()), pa.array(freq, pa.int64())], ["piece", "freq"])
+
+
+def _pretokens(pre: PreTokens):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre.prepare()
-        found: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            total: Counter = Counter()
-            for piece, n in found.items():
-                for p in pre.of_piece(piece):
-                    total[p] += n
-            found.clear()
-            return pd.DataFrame({"p": strings(list(total.keys())), "freq": list(total.values())})
-
-        for pdf in batches:
-            for text in pdf["text"]:
-                found.update(pre.pieces(text)[0])
-                if len(found) > FLUSH:
-                    yield out()
-        yield out()
+        for batch in batches:
+            special, parts = [], []
+            for piece in batch.column("piece").to_pylist():
+                n, ps = pre.of_piece(piece)
+                special.append(n)
+                parts.append(ps)
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("freq"), pa.array(special, pa.int32()), pa.array(parts, pa.list_(pa.string()))], ["piece", "freq", "special", "parts"])
 
     return run
 
 
 def _sizes(pre: PreTokens):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pre.encoder()
-        for pdf in batches:
-            n = []
-            words = list(pdf["p"])
-            for at in range(0, len(words), 1000):
-                n += [len(e.ids) for e in t.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
-            yield pd.DataFrame({"p": strings(words), "freq": pdf["freq"], "n": n})
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            n = [len(e.ids) for at in range(0, len(words), 1000) for e in t.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["p", "n"])
 
     return run
 
 
-def distinct_pretokens(docs: DataFrame, pre: PreTokens) -> DataFrame:
-    """(p, freq, n): every distinct pre-token of the texts, how often it occurs, and its number of tokens."""
-    found = docs.select("text").mapInPandas(_frequencies(pre), "p string, freq long").groupBy("p").agg(F.sum("freq").alias("freq"))
-    return found.mapInPandas(_sizes(pre), "p string, freq long, n int")
+def distinct_pieces(docs: DataFrame, pre: PreTokens) -> DataFrame:
+    """(piece, freq, n): every distinct piece of the texts between white space, how often it occurs, and its number of tokens.
+
+    No pre-token spans white space, so a piece is cut into pre-tokens by itself; each distinct pre-token is encoded once.
+    """
+    found = in_batches(docs).select("text").mapInArrow(_frequencies, "piece string, freq long").filter("piece != ''").groupBy("piece").agg(F.sum("freq").alias("freq"))
+    found = staged(found.mapInArrow(_pretokens(pre), "piece string, freq long, special int, parts array<string>"), "pieces")
+    sizes = found.select(F.explode("parts").alias("p")).distinct().mapInArrow(_sizes(pre), "p string, n int")
+    # most pieces are one pre-token, and rare: neither side has a frequent key
+    each = found.select("piece", F.explode("parts").alias("p")).join(sizes.withColumnRenamed("p", "__p"), F.col("p") == F.col("__p")).groupBy("piece").agg(F.sum("n").cast("int").alias("n"))
+    return found.select("piece", "freq", "special").join(each.withColumnRenamed("piece", "__piece"), F.col("piece") == F.col("__piece"), "left").select("piece", "freq", (F.col("special") + F.coalesce("n", F.lit(0))).alias("n"))
 
 
 def tail_sums(rows: DataFrame, table: DataFrame, key: str, **values) -> DataFrame:
@@ -153,36 +152,29 @@ def most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
 def counted(docs: DataFrame, path: str, most: int = MOST_FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs."""
     pre = PreTokens(path)
-    sizes = staged(distinct_pretokens(docs, pre), "pretokens")
-    known = {r.p: r.n for r in most_frequent(sizes, "freq", most).select("p", "n").toLocalIterator()}
-    frequent = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pre.prepare()
-        known, cache = frequent.value, {}
-        for pdf in batches:
-            totals, tails, sizes_of = [], [], []
-            for text in pdf["text"]:
-                pieces, total = pre.pieces(text)
-                tail: Counter = Counter()
-                for piece, n in Counter(pieces).items():
-                    got = cache.get(piece)
-                    if got is None:
-                        if len(cache) > 400_000:
-                            cache.clear()
-                        parts = pre.of_piece(piece)
-                        got = cache[piece] = (sum(known.get(p, 0) for p in parts), tuple(p for p in parts if p not in known))
-                    total += got[0] * n
-                    for p in got[1]:
-                        tail[p] += n
-                totals.append(total)
-                tails.append([{"w": w, "n": n} for w, n in tail.items()])
-                sizes_of.append(len((text or "").encode("utf-8", "replace")))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_bytes": sizes_of, "total": totals, "tail": tails})
+    sizes = staged(distinct_pieces(docs, pre), "piece-sizes")
+    top = most_frequent(sizes, "freq", most).select("piece", "n").toPandas()
+    frequent = docs.sparkSession.sparkContext.broadcast((pa.array(top["piece"], pa.large_string()), top["n"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n_of = frequent.value
+        for batch in batches:
+            text_of, pieces = pieces_of(batch.column("text"))
+            codes, words, texts = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary, batch.num_rows
+            at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+            n = np.where(at >= 0, n_of[at], 0) if len(n_of) else np.zeros(len(words), np.int64)
+            rare = (at < 0) & (pc.binary_length(words).to_numpy() > 0)
+            total = np.bincount(text_of, weights=n[codes], minlength=texts).astype(np.int64)
+            far = rare[codes]
+            key, times = np.unique(text_of[far] * max(1, len(words)) + codes[far], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(key // max(1, len(words)), minlength=texts))]).astype(np.int32)
+            tail = pa.StructArray.from_arrays([words.take(pa.array(key % max(1, len(words)))).cast(pa.string()), pa.array(times, pa.int32())], ["w", "n"])
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), size, pa.array(total), pa.ListArray.from_arrays(pa.array(ends), tail)], ["doc_id", "row", "n_bytes", "total", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = staged(rows.mapInPandas(run, f"doc_id {kind}, row long, n_bytes long, total long, tail array<struct<w:string,n:int>>"), "frequencies")
-    rest = tail_sums(rows, sizes.select("p", F.col("n").alias("pieces")), "p", rest=F.col("pieces").cast("long"))
+    rows = in_batches(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = staged(rows.mapInArrow(run, f"doc_id {kind}, row long, n_bytes long, total long, tail array<struct<w:string,n:int>>"), "frequencies")
+    rest = tail_sums(rows, sizes.select("piece", F.col("n").alias("pieces")), "piece", rest=F.col("pieces").cast("long"))
     n = F.col("total") + F.coalesce("rest", F.lit(0))
     return rows.join(rest, F.col("row") == F.col("__row"), "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > OVER).alias("over_limit"))
