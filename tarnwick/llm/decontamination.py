@@ -1,14 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Of every W consecutive k-gram hashes the smallest is kept, for documents and items alike, so that any
-shared span of W + k - 1 words shares a kept hash.  The join of the kept hashes gives candidate pairs; in
-each pair the hits are extended along their diagonals by comparing words, and the item windows that occur
-whole are kept.  Hashes only find candidates; hits are exact.
+shared span of W + k - 1 words shares a kept hash.  Documents that share a kept hash with any item are
+candidates; in these every window is compared, words and all, with the windows of the items, and the words
+that the found windows cover are the hits.  Hashes only find candidates; hits are exact.  Work follows the
+number of positions: a window that repeats, in a document or in items, is one row on the items' side.
 
 Cases: a null or empty text has no words; an item shorter than the span is one window and is found by the
 hash of its whole length, at every place of the documents; repeated rows come back each; rows that share a
 doc_id are told apart by their text; items that share an id count as one; a null item_id is not listed but
-its words hit; an empty benchmark hits nothing.
+its words hit; an empty benchmark hits nothing; extra columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -19,22 +20,26 @@ from pyspark.sql import functions as F
 from .common import let, staged
 
 SPAN, GRAM = 10, 5
-#: A side is broadcast only if it has at most so many rows; beyond, it is joined by shuffling.
-BROADCAST_ROWS = 200_000
-#: The same for rows that carry an item's words.
-BROADCAST_WIDE_ROWS = 20_000
+#: A side of a join is broadcast only if its rows, at the bytes a row that are stated there, take at most so many bytes.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a kept hash, and of a document's id and text hash, in a broadcast table.
+MARK_BYTES, ID_BYTES = 32, 48
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words are runs of letters, digits and whatever is beyond ASCII.  The other characters are listed one by one: ranges make a slow class.
+_WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+
+
+def _cased_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
 def exact_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    return _cased_words(F.translate(text, _UPPER, _LOWER))
 
 
-def _loose_words(text: Column) -> Column:
-    """Hashes of the words under full lower-casing: equal wherever the exact words are, and cheaper to make."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+def _word_hashes(text: Column) -> Column:
+    """Hashes of the words, each lower-cased by itself: a function of the exact word, so equal wherever those are, and cheaper to make."""
+    return F.transform(_cased_words(text), lambda w: F.xxhash64(F.lower(w)))
 
 
 def _positions(n: Column, length: int) -> Column:
@@ -54,60 +59,64 @@ def winnowed(grams: Column, window: int) -> Column:
 def _marks(text: Column, short: list[int], span: int, gram: int) -> Column:
     """Kept hashes of a text; the words and their k-grams are each computed once."""
     kept = lambda w: [let(_grams(w, gram), lambda g: winnowed(g, span - gram + 1)), *[_grams(w, n) for n in short]]
-    return let(_loose_words(text), lambda w: F.array_distinct(F.concat(*kept(w))) if short else kept(w)[0])
+    return let(_word_hashes(text), lambda w: F.array_distinct(F.concat(*kept(w))) if short else kept(w)[0])
+
+
+def _windows(words: Column, lengths: list[int], own: Column | None = None) -> Column:
+    """(at, len, win) for the runs of so many words, by position; own: the one length that is meant, if not all are."""
+    at = lambda n: F.transform(_positions(F.size(words), n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("win")))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("win"))), 1, 0)
+    return F.concat(none, *[at(n) if own is None else F.when(own == n, at(n)).otherwise(none) for n in lengths])
 
 
-def _shifts(doc: Column, item: Column, marks: Column) -> Column:
-    """The diagonals (document position less item position) on which a candidate hash of both lies."""
-    at = lambda grams: F.filter(_positions(F.size(grams), 1), lambda i: F.array_contains(marks, F.get(grams, i)))
-    return F.flatten(F.transform(at(doc), lambda i: F.transform(F.filter(at(item), lambda j: F.get(item, j) == F.get(doc, i)), lambda j: i - j)))
+def _sized(df: DataFrame, bytes_a_row: float) -> DataFrame:
+    """df for a join: broadcast if it is small enough, else merged with the other side."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df.hint("merge")
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_hash, n_hit, items): for the documents in which any window of an item occurs."""
-    items = staged(items.select("item_id", exact_words(F.col("text")).alias("words"), _loose_words(F.col("text")).alias("w")).filter(F.size("words") > 0).distinct(), "items")
-    short = sorted(r.n for r in items.filter(F.size("words") < span).select(F.size("words").alias("n")).distinct().collect())
-    n_items = items.count()
-    keyed = items.withColumn("key", F.xxhash64("item_id", "words"))
+    items = staged(items.select("item_id", "text").filter(F.size(_cased_words(F.col("text"))) > 0).distinct(), "items")
+    sizes = items.select(F.size(_cased_words(F.col("text"))).alias("n"), F.octet_length("text").alias("b")).agg(F.array_sort(F.collect_set(F.when(F.col("n") < span, F.col("n")))).alias("short"), F.max("n").alias("n")).first()
+    short = list(sizes.short or [])
+    lengths = [*short, *([span] if (sizes.n or 0) >= span else [])]
     size = F.size("w")
     own = F.when(size >= span, let(_grams(F.col("w"), gram), lambda g: winnowed(g, span - gram + 1)))
     for n in short:
         own = own.when(size == n, _grams(F.col("w"), n))
-    item_marks = staged(keyed.select("key", F.explode(own).alias("mark")).distinct(), "item-marks")
-    few = item_marks.count() <= BROADCAST_ROWS
+    item_marks = staged(items.select(_word_hashes(F.col("text")).alias("w")).select(F.explode(own).alias("mark")).distinct(), "item-marks")
     marks = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     marks = marks.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_marks(F.col("text"), short, span, gram)).alias("mark"))
-    pairs = marks.join(F.broadcast(item_marks) if few else item_marks, "mark")
-    pairs = pairs.groupBy("doc_id", "text_hash", "key").agg(F.collect_set("mark").alias("marks"))
-    pairs = staged(pairs.join(F.broadcast(keyed) if n_items <= BROADCAST_WIDE_ROWS else keyed, "key"), "pairs")
-    some = pairs.count() <= BROADCAST_WIDE_ROWS
-    pairs = pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    found = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    found = found.join(F.broadcast(pairs) if some else pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    text, n = F.col("text"), F.size("words")
-    length = F.least(F.lit(span), n)
-    shifts = lambda w, k: let(_grams(w, k), lambda d: let(_grams(F.col("w"), k), lambda i: _shifts(d, i, F.col("marks"))))
-    all_shifts = lambda w: F.array_distinct(F.concat(*[shifts(w, k) for k in sorted({gram, *short})]))
-    same = lambda dw, s, p: (s + p >= 0) & (F.slice(dw, F.greatest(s + p, F.lit(0)) + 1, length) == F.slice("words", p + 1, length))
-    span_at = lambda at: F.struct(at.alias("from"), (at + length).alias("to"))
-    starts = lambda dw, s: F.transform(F.filter(F.sequence(F.lit(0), n - length), lambda p: same(dw, s, p)), lambda p: span_at(s + p))
-    spans = let(let(_loose_words(text), all_shifts), lambda shift: let(exact_words(text), lambda dw: F.flatten(F.transform(shift, lambda s: starts(dw, s)))))
-    found = found.select("doc_id", "text_hash", "item_id", F.array_distinct(spans).alias("spans")).filter(F.size("spans") > 0)
-    found = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    found = staged(marks.join(_sized(item_marks, MARK_BYTES), "mark", "left_semi").select("doc_id", "text_hash").distinct(), "candidates")
+    cand = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    ids = found.toDF("__d", "__h")
+    cand = cand.join(_sized(ids, ID_BYTES), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    # a window of an item, and the items that hold it
+    words, whole = F.col("words"), F.least(F.size("words"), F.lit(span))
+    of = items.select(F.col("item_id").cast("string").alias("item"), exact_words(F.col("text")).alias("words"))
+    of = staged(of.select("item", F.explode(_windows(words, lengths, whole)).alias("x")).select("item", "x.win").distinct(), "item-windows")
+    known = of.select("win").distinct()
+    mean = known.agg(F.avg(F.octet_length("win")).alias("b")).first().b or 0.0
+    mine = cand.select("doc_id", "text_hash", exact_words(F.col("text")).alias("words")).select("doc_id", "text_hash", F.explode(_windows(words, lengths)).alias("x")).select("doc_id", "text_hash", "x.*")
+    mine = staged(mine.join(_sized(known, mean + MARK_BYTES), "win", "left_semi"), "hit-windows")
+    spans = mine.select("doc_id", "text_hash", F.struct(F.col("at").alias("from"), (F.col("at") + F.col("len")).alias("to")).alias("span"))
     covered = F.aggregate(
-        "spans",
+        F.sort_array(F.collect_set("span")),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),
         lambda acc, x: F.struct(F.greatest(acc["end"], x["to"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), x["to"] - F.greatest(acc["end"], x["from"]))).alias("sum")),
         lambda acc: acc["sum"],
     )
-    return found.select("doc_id", "text_hash", covered.cast("long").alias("n_hit"), "items")
+    n_hit = spans.groupBy("doc_id", "text_hash").agg(covered.cast("long").alias("n_hit"))
+    listed = mine.select("doc_id", "text_hash", "win").distinct().join(of, "win").select("doc_id", "text_hash", "item").distinct()
+    listed = listed.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return n_hit.join(listed, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))).select("doc_id", "text_hash", "n_hit", "items")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    found = staged(hits(docs, items), "hits").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(_CASED)), F.lit(0)).cast("long").alias("n_words"))
-    out = all_docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    found = staged(hits(docs, items), "hits").withColumnsRenamed({"doc_id": "__d", "text_hash": "__h"})
+    all_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = all_docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
@@ -117,6 +126,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    found = hits(docs, items).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    found = staged(found, "hits")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left_anti")
+    found = staged(hits(docs, items).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")), "hits")
+    return docs.join(_sized(found, ID_BYTES), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_anti")

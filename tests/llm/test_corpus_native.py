@@ -9,6 +9,8 @@ import pytest
 import xxhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size long"
+#: Columns that a table may bring along, named like the operators' own ones.
+CLASHES = ("rn", "same", "d", "h", "fp", "row", "range", "copies", "taken", "words", "w", "text_hash", "quality_score", "score", "held_out", "item", "win", "shard", "tail", "p", "n", "mark", "least", "root")
 
 
 def odd_docs(spark):
@@ -23,6 +25,13 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def clashing(docs):
+    """docs with a column of each name in CLASHES."""
+    from pyspark.sql import functions as F
+
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
 def rows(df):
     return [r.asDict() for r in df.collect()]
 
@@ -77,8 +86,7 @@ def test_decontamination_equals_brute_force(spark, sf):
 def test_decontamination_odd_rows_and_short_items(spark, broadcast, monkeypatch):
     from tarnwick.llm import decontamination
 
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 200_000 if broadcast else -1)
-    monkeypatch.setattr(decontamination, "BROADCAST_WIDE_ROWS", 20_000 if broadcast else -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", decontamination.BROADCAST_BYTES if broadcast else -1)
     items = spark.createDataFrame(
         [(1, "one two three four five six seven eight nine ten"), (2, "TEN eleven"), (3, "b"), (4, None), (5, ""), (2, "TEN eleven"), (9, "É b c d e"), (10, "nine ten eleven y z")], "item_id long, text string"
     )
@@ -92,6 +100,33 @@ def test_decontamination_odd_rows_and_short_items(spark, broadcast, monkeypatch)
     assert decontamination.report(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_words_are_exact_and_repeats_are_cheap(spark):
+    """Words that full lower-casing of a text would change; runs of one word; marks that all items share."""
+    import time
+
+    from tarnwick.llm import decontamination
+
+    common = "this common phrase of five"
+    items = [(1, "alpha beta gamma delta ΑΣ ΑΣ epsi zeta eta theta"), (2, "spam " * 400), (3, "ham " * 30 + "eggs"), (None, "no id has this item here, of ten words in all")]
+    items += [(100 + i, f"{common} words {i} a{i} b{i} c{i} d{i} e{i}") for i in range(60)]
+    docs = [(1, "alpha beta gamma delta ΑΣ'ΑΣ'epsi zeta eta theta"), (2, "spam " * 1000), (3, "ham " * 500 + "eggs eggs"), (4, "spam " * 9), (5, f"{common} " * 50), (6, f"{common} words 7 a7 b7 c7 d7 e7 {common} words 8 a8 b8 c8 d8 e8"), (7, "No ID has this item here of ten words in all"), (8, "İ ΑΣ " * 30)]
+    began = time.time()
+    got = as_counter(decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), *COLS)
+    assert got == brute_hits(docs, items) and sum(k[5] for k in got) == 5
+    assert time.time() - began < 60
+
+
+def test_decontamination_keeps_columns_of_any_name(spark, sf):
+    from tarnwick.llm import decontamination
+
+    docs, items = clashing(spark.read.parquet(f"{sf}/documents.parquet")), clashing(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns
+    want = decontamination.report(docs, items).filter("not contaminated")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+    assert kept.select(*CLASHES).distinct().collect() == [tuple(f"own {c}" for c in CLASHES)]
+
+
 # mixing
 
 def plain_targets(sizes):
