@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "scan_table", "scan_point", "scan_range", "count_all", "comparisons", "like_any_case", "order_by", "top_k", "distinct", "group_by", "group_by_expression", "having", "count_distinct",
     "join_group_having", "join_residual", "join_four", "exists", "not_in_subquery", "scalar_correlated", "lateral_top", "window_ranking", "window_aggregates", "window_lag_lead", "cte", "cte_recursive",
-    "fn_string", "fn_date_arithmetic", "json_group", "dml_upsert", "dml_merge",
+    "fn_string", "fn_date_arithmetic", "json_group", "engine_insert_select", "engine_update", "engine_on_conflict_update", "engine_merge",
 ]
 
 

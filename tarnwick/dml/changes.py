@@ -1,7 +1,7 @@
 """The relational core of INSERT conflict handling, UPDATE, DELETE and MERGE, for DataFrames.
 
-None of these collects rows.  Rows are told apart by key columns, or by the hidden number RID that numbered()
-adds.  Where the row-at-a-time rule is "first match wins", the order is that of the RID (of the key, where
+None of these collects rows.  Rows are told apart by key columns, or by the hidden column RID: for a table's
+rows their file and place in it, for others a number that numbered() adds.  Where the row-at-a-time rule is "first match wins", the order is that of the RID (of the key, where
 given); it is a defined order, so results do not depend on partitioning.
 """
 
@@ -39,33 +39,19 @@ def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[list[str]],
 
 
 def insert_or_replace(target: DataFrame, rows: DataFrame, keys: list[list[str]], order: str) -> tuple[DataFrame, DataFrame]:
-    """(target rows that stay, rows to add): later rows replace earlier ones and the target's."""
-    kept = target
+    """(RIDs of the target's rows that go, rows to add): later rows replace earlier ones and the target's."""
     for k in keys:
         rows = first_of(rows, k, order, last=True)
-    for k in keys:
-        kept = kept.alias("t").join(rows.alias("n"), _same(k, "t", "n"), "left_anti")
-    return kept, rows
+    hit = [target.alias("t").join(rows.alias("n"), _same(k, "t", "n"), "left_semi").select(RID) for k in keys]
+    return reduce(DataFrame.unionByName, hit).distinct() if hit else target.select(RID).limit(0), rows
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], sets: dict[str, str], where: str | None = None, alias: str = "t") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(target rows untouched, updated rows, rows to add); sets and where may name excluded and the target's alias."""
-    columns = [c for c in target.columns]
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], sets: dict[str, str], where: str | None = None, alias: str = "t") -> tuple[DataFrame, DataFrame]:
+    """(updated rows of the target, with RID; rows to add); sets and where may name excluded and the target's alias."""
     both = target.alias(alias).join(rows.alias("excluded"), _same(keys, alias, "excluded"))
     hit = both.filter(F.expr(where)) if where else both
-    updated = hit.select([F.expr(sets[c]).cast(target.schema[c].dataType).alias(c) if c in sets else F.col(f"{alias}.`{c}`").alias(c) for c in columns])
-    touched = hit.select([F.col(f"{alias}.`{k}`").alias(k) for k in keys])
-    kept = target.alias("a").join(touched.alias("b"), _same(keys, "a", "b"), "left_anti")
-    added = rows.alias("n").join(target.alias("t0"), _same(keys, "n", "t0"), "left_anti")
-    return kept, updated, added
-
-
-def apply_updates(target: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
-    """target (with RID) with the given columns taken from updates(RID, columns) where it has the row."""
-    new = updates.select(F.col(RID).alias("__u"), *[F.col(f"`{c}`").alias(f"__new_{c}") for c in columns])
-    joined = target.join(new, F.col(RID) == F.col("__u"), "left")
-    hit = F.col("__u").isNotNull()
-    return joined.select([F.when(hit, F.col(f"`__new_{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in target.columns])
+    updated = hit.select([F.expr(sets[c]).cast(target.schema[c].dataType).alias(c) if c in sets else F.col(f"{alias}.`{c}`").alias(c) for c in target.columns])
+    return updated, rows.alias("n").join(target.alias("t0"), _same(keys, "n", "t0"), "left_anti")
 
 
 def merge_actions(pairs: DataFrame, source_id: str, order: list[str]) -> DataFrame:

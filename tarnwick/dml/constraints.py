@@ -37,16 +37,18 @@ def unique_keys(table: dict, indexes: list[dict]) -> list[list[str]]:
     return keys + [[e["column"] for e in i["elements"]] for i in indexes if i["unique"] and not i["where"] and all(e["column"] for e in i["elements"])]
 
 
-def check_unique(table: dict, state: DataFrame, indexes: list[dict]) -> None:
-    """Keys over a whole new state; NULLs are distinct."""
-    for key in unique_keys(table, indexes):
-        full = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in key])
-        _refuse(state.filter(full).groupBy(*[f"`{k}`" for k in key]).count().filter("count > 1"), f"{table['name']}: ({', '.join(key)}) is not unique")
+def check_unique(table: dict, rows: DataFrame, indexes: list[dict], others: DataFrame | None = None) -> None:
+    """Keys of new or changed rows, among themselves and against the others that stay; NULLs are distinct."""
+    keys = [([F.col(f"`{c}`") for c in key], None, f"({', '.join(key)})") for key in unique_keys(table, indexes)]
     for i in indexes:
         if i["unique"] and (i["where"] or not all(e["column"] for e in i["elements"])):
-            rows = state.filter(F.expr(i["where"])) if i["where"] else state
-            cols = [F.expr(e["sql"]).alias(f"k{n}") for n, e in enumerate(i["elements"])]
-            _refuse(rows.select(cols).dropna().groupBy([f"k{n}" for n in range(len(cols))]).count().filter("count > 1"), f"{table['name']}: index {i['name']} is not unique")
+            keys.append(([F.expr(e["sql"]) for e in i["elements"]], i["where"], f"index {i['name']}"))
+    for columns, where, what in keys:
+        part = lambda df, cs=columns, w=where: (df.filter(F.expr(w)) if w else df).select([c.alias(f"k{n}") for n, c in enumerate(cs)]).dropna()
+        names = [f"k{n}" for n in range(len(columns))]
+        _refuse(part(rows).groupBy(names).count().filter("count > 1"), f"{table['name']}: {what} is not unique")
+        if others is not None:
+            _refuse(part(rows).join(part(others), names, "left_semi"), f"{table['name']}: {what} is not unique")
 
 
 def check_parents(table: dict, rows: DataFrame, parent_of) -> None:

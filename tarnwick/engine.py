@@ -16,7 +16,7 @@ from .dialect.parser import Parser, Statement, name_sql, string_sql
 from .dml import changes
 from .dml.changes import RID
 from .dml.constraints import check_parents, check_rows, check_unique, unique_keys
-from .errors import ConstraintError, EngineError, Signal
+from .errors import ConflictError, ConstraintError, EngineError, Signal
 from .functions import json as json_functions
 from .functions.convert import compare
 from .plans.explain import plan_rows
@@ -48,6 +48,7 @@ class Engine:
         json_functions.register(spark)
         self.depth, self.changed, self.last_id, self.began, self.savepoints = 0, 0, None, None, {}
         self.seen: dict[str, object] = {}
+        self.temps: list[str] = []
         for f in self.catalog.state["functions"].values():
             self._define(f)
 
@@ -89,8 +90,11 @@ class Engine:
         do = getattr(self, f"_{s.kind}")
         if s.kind in ("begin", "commit", "rollback", "savepoint", "release", "isolation"):
             return do(s, args)
+        if not self.depth and self.began is None:
+            self.catalog.refresh()  # what other sessions have written meanwhile
         before, self.depth = self.catalog.copy(), self.depth + 1
         self.catalog.held += 1
+        out = Result()
         try:
             out = do(s, args)
         except BaseException:
@@ -99,8 +103,18 @@ class Engine:
         finally:
             self.depth -= 1
             self.catalog.held -= 1
+            if not self.depth and out.df is None:  # a result with rows may still read them
+                for path in self.temps:
+                    self.catalog.files.delete(path)
+                self.temps.clear()
         if s.kind not in ("query", "explain") or before["sequences"] != self.catalog.state["sequences"]:
-            self.catalog.save()
+            try:
+                self.catalog.save()
+            except ConflictError:
+                raise  # the other session's state has been read
+            except BaseException:
+                self.catalog.state = before
+                raise
         return out
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
@@ -271,7 +285,7 @@ class Engine:
             raise EngineError(f"{s.table} has no column {s.name}")
         if do == "add_constraint":
             t["constraints"].append(s.constraint)
-            self._check(t, self.catalog.read(s.table), self.catalog.read(s.table))
+            self._check(t, self.catalog.read(s.table), None)
         elif do == "drop_constraint":
             found = [k for k in t["constraints"] if infoschema.constraint_name(t, k).lower() == s.name.lower()]
             if not found:
@@ -287,7 +301,7 @@ class Engine:
             t["constraints"] += s.constraints
             if not c["computed"] or c["stored"]:
                 new = before.selectExpr("*", f"cast({c['computed'] or c['default'] or 'NULL'} as {c['type']}) AS {name_sql(c['name'])}")
-                self._check(t, new, new)
+                self._check(t, new, None)
                 self.catalog.write(s.table, new)
         elif do == "drop_column":
             if any(c["name"].lower() == s.name.lower() for k in t["constraints"] for c in [{"name": x} for x in k.get("columns") or []]):
@@ -415,16 +429,19 @@ class Engine:
         keys = r["columns"] or next((p["columns"] for p in parent["constraints"] if p["kind"] == "PRIMARY KEY"), [])
         return self.catalog.read(r["table"]), keys
 
-    def _check(self, t: dict, rows: DataFrame, state: DataFrame, itself: DataFrame | None = None) -> None:
-        """rows: new or changed; state: the whole table after the change."""
+    def _check(self, t: dict, rows: DataFrame, others: DataFrame | None) -> None:
+        """rows: new or changed; others: the table's rows that stay (None: rows are the whole table)."""
         check_rows(t, rows)
-        check_unique(t, state, self._indexes(t["name"]))
+        check_unique(t, rows, self._indexes(t["name"]), others)
         own = t["name"].lower()
-        check_parents(t, rows, lambda k: (state, self._parent(k)[1]) if k["references"]["table"].lower() == own else self._parent(k))
+        names = [name_sql(c["name"]) for c in t["columns"]]
+        whole = lambda: rows.select(names) if others is None else rows.select(names).unionByName(others.select(names))
+        check_parents(t, rows, lambda k: (whole(), self._parent(k)[1]) if k["references"]["table"].lower() == own else self._parent(k))
 
     def _temp(self, df: DataFrame) -> DataFrame:
         """Write rows once: what follows reads the same rows whatever it does with them."""
         path = f"{self.catalog.root}/tmp-{uuid.uuid4().hex}"
+        self.temps.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -438,10 +455,10 @@ class Engine:
                 df = df.selectExpr("*", f"{c['computed']} AS {name_sql(c['name'])}")
         return df.select([name_sql(c["name"]) for c in t["columns"]] + keep)
 
-    def _finish(self, table: str, state: DataFrame, changed: DataFrame, returning: list[str] | None, alias: str | None = None) -> Result:
-        """Write the new state; changed: the rows that RETURNING sees and that count."""
+    def _finish(self, table: str, gone: DataFrame | None, rows: DataFrame | None, changed: DataFrame, returning: list[str] | None, alias: str | None = None) -> Result:
+        """Write the change: rows that go (by RID) and rows that come; changed: the rows that RETURNING sees and that count."""
         t = self.catalog.get("tables", table)
-        self.catalog.write(table, state)
+        self.catalog.change(table, gone, rows)
         self.changed = changed.count()
         if returning is None:
             return Result(affected=self.changed)
@@ -536,30 +553,31 @@ class Engine:
         if self._has(s.table, "INSERT"):
             new = rows.withColumn(RID, F.col("__ord"))
             self._fire(s.table, "INSERT", "BEFORE", new, None)
-        target = self._computed(t, self.catalog.stored(t)) if any(c["computed"] for c in t["columns"]) else self.catalog.stored(t)
+        target = self.catalog.read(s.table, numbered=True)
         keys, plain = unique_keys(t, self._indexes(s.table)), [name_sql(c["name"]) for c in t["columns"]]
-        added, updated, kept = rows, None, target
+        added, updated, gone = rows, None, None
         if s.resolve == "IGNORE" or s.conflict and s.conflict["sets"] is None:
             added = changes.insert_or_ignore(target, rows, [s.conflict["on"]] if s.conflict and s.conflict["on"] else keys, "__ord")
         elif s.resolve == "REPLACE":
-            kept, added = changes.insert_or_replace(target, rows, keys, "__ord")
+            gone, added = changes.insert_or_replace(target, rows, keys, "__ord")
+            gone = self._temp(gone)
             if t["constraints"]:
                 for k in keys[:1]:
-                    gone = target.join(rows.select([name_sql(c) for c in k]), k, "left_semi").join(rows, k, "left_anti")
-                    self._cascade(s.table, gone)
+                    lost = target.join(rows.select([name_sql(c) for c in k]), k, "left_semi").join(rows, k, "left_anti")
+                    self._cascade(s.table, lost)
         elif s.conflict:
             on = s.conflict["on"] or (keys[0] if keys else [])
             if not on:
                 raise EngineError("ON CONFLICT needs a key")
             if rows.dropna(subset=on).groupBy(*map(name_sql, on)).count().filter("count > 1").limit(1).count():
                 raise ConstraintError("two rows of one INSERT conflict with each other")
-            kept, updated, added = changes.upsert(target, rows, on, {self._column(t, c): e for c, e in s.conflict["sets"]}, s.conflict["where"], s.table)
-            updated = self._computed(t, updated)
+            updated, added = changes.upsert(target, rows, on, {self._column(t, c): e for c, e in s.conflict["sets"]}, s.conflict["where"], s.table)
+            updated = self._temp(self._computed(t, updated))
+            gone = updated.select(RID)
         touched = added.select(plain) if updated is None else added.select(plain).unionByName(updated.select(plain))
         touched = self._temp(touched)
-        state = kept.select(plain).unionByName(touched)
-        self._check(t, touched, state)
-        out = self._finish(s.table, state, touched, s.returning)
+        self._check(t, touched, target if gone is None else target.join(gone, RID, "left_anti"))
+        out = self._finish(s.table, gone, touched, touched, s.returning)
         if self._has(s.table, "INSERT"):
             self._fire(s.table, "INSERT", "AFTER", changes.numbered(touched), None)
             self.changed = out.affected
@@ -587,8 +605,8 @@ class Engine:
         raise EngineError(f"{t['name']} has no column {name}")
 
     def _target(self, t: dict) -> DataFrame:
-        """The table's rows with a number each, fixed for the statement."""
-        df = changes.numbered(self.catalog.read(t["name"]))
+        """The table's rows with their place in its files."""
+        df = self.catalog.read(t["name"], numbered=True)
         df.createOrReplaceTempView("__target")
         return df
 
@@ -618,11 +636,9 @@ class Engine:
         if self._has(t["name"], "UPDATE"):
             old = self._temp(target.join(new.select(RID), RID, "left_semi"))
             self._fire(t["name"], "UPDATE", "BEFORE", new, old, columns)
-        plain = [name_sql(c["name"]) for c in t["columns"]]
-        state = target.join(new, RID, "left_anti").select(plain).unionByName(new.select(plain))
-        self._check(t, new, state)
+        self._check(t, new, target.join(new, RID, "left_anti"))
         self._cascade_update(t, target, new, columns)
-        out = self._finish(t["name"], state, new, returning, alias)
+        out = self._finish(t["name"], new.select(RID), new, new, returning, alias)
         if old is not None:
             self._fire(t["name"], "UPDATE", "AFTER", new, old, columns)
             self.changed = out.affected
@@ -655,8 +671,7 @@ class Engine:
         fires = self._has(t["name"], "DELETE")
         if fires:
             self._fire(t["name"], "DELETE", "BEFORE", None, gone)
-        plain = [name_sql(c["name"]) for c in t["columns"]]
-        out = self._finish(t["name"], target.join(gone.select(RID), RID, "left_anti").select(plain), gone, returning, alias)
+        out = self._finish(t["name"], gone.select(RID), None, gone, returning, alias)
         if t["constraints"]:
             self._cascade(t["name"], gone)
         if fires:
@@ -720,8 +735,7 @@ class Engine:
             value = lambda i, c, d=do, x=child: f"__new{i}" if d == "CASCADE" else "NULL" if d == "SET NULL" else self._default(x, c)
             cells = [f"{value(k['columns'].index(c), c)} AS {name_sql(c)}" if c in k["columns"] else name_sql(c) for c in rows.columns if c != RID]
             made = self._temp(self._computed(child, hit.selectExpr(*cells, RID)))
-            plain = [name_sql(c["name"]) for c in child["columns"]]
-            self.catalog.write(child["name"], rows.join(made, RID, "left_anti").select(plain).unionByName(made.select(plain)))
+            self.catalog.change(child["name"], made.select(RID), made)
 
     def _merge(self, s: Statement, args: dict) -> Result:
         t = self.catalog.get("tables", s.table)
@@ -761,10 +775,9 @@ class Engine:
         names = [name_sql(c["name"]) for c in t["columns"]]
         touched = updated.select(names) if added is None else updated.select(names).unionByName(added.select(names))
         touched = self._temp(touched)
-        state = target.join(made.select(RID), RID, "left_anti").select(names).unionByName(touched)
         n_gone = gone.count()
-        self._check(t, touched, state)
-        out = self._finish(s.table, state, touched, None)
+        self._check(t, touched, target.join(made.select(RID), RID, "left_anti"))
+        out = self._finish(s.table, made.select(RID), touched, touched, None)
         if n_gone:
             self._cascade(s.table, self._temp(target.join(gone.select(RID), RID, "left_semi")))
         if self._has(s.table, "INSERT") and added is not None:
@@ -801,14 +814,14 @@ class Engine:
     def vacuum(self) -> None:
         """Delete what statements wrote in between and snapshots that no table lists; results not yet read must not be needed any more."""
         files, root = self.catalog.files, self.catalog.root
-        live = {v["path"] for t in self.catalog.state["tables"].values() for v in t["versions"]}
+        live = {p["path"] for t in self.catalog.state["tables"].values() for v in t["versions"] for p in v["parts"]}
         for name in files.names(root):
             if name.startswith("tmp-"):
                 files.delete(f"{root}/{name}")
-            elif name != "catalog.json":
-                for snapshot in files.names(f"{root}/{name}"):
-                    if f"{root}/{name}/{snapshot}" not in live:
-                        files.delete(f"{root}/{name}/{snapshot}")
+            elif name != "catalog":
+                for part in files.names(f"{root}/{name}"):
+                    if f"{root}/{name}/{part}" not in live:
+                        files.delete(f"{root}/{name}/{part}")
 
     def dump(self, folder: str) -> list[str]:
         """Definitions and INSERT statements of all tables, parents before children; gives the tables in that order."""

@@ -19,3 +19,7 @@ class Signal(EngineError):
     def __init__(self, state: str, message: str | None):
         super().__init__(message or f"SQLSTATE {state}")
         self.state = state
+
+
+class ConflictError(EngineError):
+    """Another session has changed the catalog since this one read it; run the statement or transaction again."""

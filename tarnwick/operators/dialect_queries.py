@@ -32,15 +32,15 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "like_any_case": ("SELECT c_custkey FROM customer WHERE c_name LIKE 'CUSTOMER#%7_'", "SELECT c_custkey FROM customer WHERE c_name ILIKE 'CUSTOMER#%7_'"),
     "like_escape": ("SELECT t FROM (VALUES ('a%b'), ('aXb'), ('A%B'), ('a\nb')) AS v (t) WHERE t LIKE 'a!%b' ESCAPE '!' OR t NOT LIKE 'a_b'", "SELECT t FROM (VALUES ('a%b'), ('aXb'), ('A%B'), (concat('a', chr(10), 'b'))) v(t) WHERE t ILIKE 'a!%b' ESCAPE '!' OR t NOT ILIKE 'a_b'"),
     "glob": ("SELECT p_partkey, p_type FROM part WHERE p_type GLOB '*[A-M]???*' AND p_brand GLOB 'Brand#[!1]?'", None),
-    "arithmetic": ("SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 2 AS b, l_quantity * 3 AS c, l_quantity / 4 AS d, - l_linenumber AS e, l_orderkey % 7 AS f FROM lineitem WHERE l_orderkey < 500", None),
+    "arithmetic": ("SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 2 AS b, l_quantity * 3 AS c, l_quantity / 4 AS d, - l_linenumber AS e, l_orderkey % 7 AS f FROM lineitem", None),
     "divide_by_zero": ("SELECT n_nationkey / n_regionkey AS q, n_nationkey % n_regionkey AS r, n_nationkey FROM nation", "SELECT n_nationkey / NULLIF(n_regionkey, 0) AS q, CAST(n_nationkey % NULLIF(n_regionkey, 0) AS BIGINT) AS r, n_nationkey FROM nation"),
     "bitwise": ("SELECT n_nationkey, n_nationkey & 6 AS a, n_nationkey | 9 AS o, ~ n_nationkey AS t, n_nationkey << 3 AS l, n_nationkey >> 1 AS r FROM nation", "SELECT n_nationkey, CAST(n_nationkey & 6 AS BIGINT) AS a, CAST(n_nationkey | 9 AS BIGINT) AS o, CAST(~ n_nationkey AS BIGINT) AS t, CAST(n_nationkey << 3 AS BIGINT) AS l, CAST(n_nationkey >> 1 AS BIGINT) AS r FROM nation"),
-    "concat_operator": ("SELECT c_name || '/' || c_mktsegment AS t, c_custkey FROM customer WHERE c_custkey < 100", None),
+    "concat_operator": ("SELECT c_name || '/' || c_mktsegment AS t, c_custkey FROM customer", None),
     "text_plus": ("SELECT 'n: ' + n_name AS t FROM nation", "SELECT 'n: ' || n_name AS t FROM nation"),
     "case_searched": ("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size FROM orders", None),
     "case_simple_null": ("SELECT k, CASE v WHEN NULL THEN 'none' WHEN 1 THEN 'one' ELSE 'other' END AS t FROM (VALUES (1, NULL), (2, 1), (3, 5)) AS x (k, v)", "SELECT k, CASE WHEN v IS NULL THEN 'none' WHEN v = 1 THEN 'one' ELSE 'other' END AS t FROM (VALUES (1, NULL), (2, 1), (3, 5)) x(k, v)"),
     "iif": ("SELECT c_custkey, IIF(c_acctbal > 0, 'pos', 'neg') AS s, IIF(NULL, 1, 2) AS n FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS s, 2 AS n FROM customer"),
-    "cast_lenient": ("SELECT CAST('12' AS BIGINT) AS a, CAST('x' AS BIGINT) AS b, CAST('2.5' AS DOUBLE) AS c, CAST(o_orderkey AS TEXT) AS d FROM orders WHERE o_orderkey < 20", "SELECT CAST(12 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(2.5 AS DOUBLE) AS c, CAST(o_orderkey AS VARCHAR) AS d FROM orders WHERE o_orderkey < 20"),
+    "cast_lenient": ("SELECT CAST('12' AS BIGINT) AS a, CAST('x' AS BIGINT) AS b, CAST('2.5' AS DOUBLE) AS c, CAST(o_orderkey AS TEXT) AS d FROM orders", "SELECT CAST(12 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(2.5 AS DOUBLE) AS c, CAST(o_orderkey AS VARCHAR) AS d FROM orders"),
     "collate": ("SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment COLLATE NOCASE = 'building'", "SELECT COUNT(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'"),
     "typed_literals": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP'1995-01-01 00:00:00' AND o_orderdate < DATE'1995-03-01'", None),
     "hex_literal": ("SELECT 0x1F AS h, HEX(x'0aff') AS b", "SELECT 31 AS h, '0AFF' AS b"),

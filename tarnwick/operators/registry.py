@@ -11,7 +11,7 @@ from ..dialect.parser import Parser
 from ..functions import json as json_functions
 from ..session import prepared
 from ..sources.files import parquet
-from . import change_queries, stream_queries
+from . import engine_queries, stream_queries
 from .dialect_queries import QUERIES as DIALECT
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,5 +29,5 @@ def dialect_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: dialect_query(t) for k, (t, _) in DIALECT.items()} | change_queries.QUERIES | stream_queries.QUERIES
-ORACLE: dict[str, str] = {k: o or t for k, (t, o) in DIALECT.items()} | change_queries.ORACLE | stream_queries.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: dialect_query(t) for k, (t, _) in DIALECT.items()} | engine_queries.QUERIES | stream_queries.QUERIES
+ORACLE: dict[str, str] = {k: o or t for k, (t, o) in DIALECT.items()} | engine_queries.ORACLE | stream_queries.ORACLE

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 class Storage:
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -25,15 +28,24 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Write beside, then rename over: a reader sees the old or the new text."""
+    def write_new(self, path: str, text: str) -> bool:
+        """Write beside, then rename to a name that must be free: readers see nothing or all, and of two writers one gets False."""
         fs, p = self._at(path)
-        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-        stream = fs.create(beside, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        fs.delete(p, False)
-        fs.rename(beside, p)
+        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(beside, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        here = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
+        try:
+            here.rename(beside, p, self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            fs.delete(beside, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)

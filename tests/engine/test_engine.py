@@ -3,7 +3,7 @@
 import pytest
 
 from tarnwick.engine import Engine
-from tarnwick.errors import ConstraintError, EngineError, ParseError, Signal
+from tarnwick.errors import ConflictError, ConstraintError, EngineError, ParseError, Signal
 
 
 @pytest.fixture()
@@ -186,3 +186,66 @@ def test_files(spark, tmp_path):
     assert key(files.import_csv(spark, f"file://{tmp_path}/c", "k int, t string")) == key(df)
     assert key(files.import_json(spark, f"file://{tmp_path}/j", "k int, t string", lines=True)) == key(df)
     assert files.preview(df, 1) == [{"k": 1, "t": 'a "q", b\nc'}]
+
+
+def parts_of(db, table):
+    return db.catalog.parts(db.catalog.get("tables", table))
+
+
+def test_changes_write_only_what_they_touch(db, monkeypatch):
+    from tarnwick import catalog
+
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, v TEXT)")
+    db.bulk_insert("t", db.spark.range(0, 1000, 1, 4).selectExpr("cast(id as int) AS k", "'a' AS v"))
+    first = parts_of(db, "t")
+    db.execute("INSERT INTO t VALUES (2000, 'b')")
+    added = parts_of(db, "t")
+    assert added[:-1] == first and len(added) == 2 and len([n for n in db.catalog.files.names(added[1]["path"]) if n.endswith(".parquet")]) == 1
+    files = [n for n in db.catalog.files.names(first[0]["path"]) if n.endswith(".parquet")]
+    db.execute("DELETE FROM t WHERE k = 3; UPDATE t SET v = 'c' WHERE k = 4")
+    kept = parts_of(db, "t")[0]["files"]
+    assert len(files) == 4 and len(kept) == 3 and set(kept) < set(files)
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO t VALUES (5, 'again')")
+    assert db.query("SELECT COUNT(*), SUM(k) FROM t").first()[:] == (1000, sum(range(1000)) - 3 + 2000)
+    monkeypatch.setattr(catalog, "FAN", 4)
+    for i in range(9):
+        db.execute(f"INSERT INTO t VALUES ({3000 + i}, 'd')")
+    assert len(parts_of(db, "t")) < 9 and db.query("SELECT COUNT(*) FROM t").first()[0] == 1009
+
+
+def test_two_sessions_do_not_overwrite_each_other(db):
+    db.execute("CREATE TABLE t (x INT)")
+    other = Engine(db.spark, db.catalog.root)
+    db.execute("BEGIN; INSERT INTO t VALUES (1)")
+    other.execute("INSERT INTO t VALUES (2)")
+    with pytest.raises(ConflictError):
+        db.execute("COMMIT")
+    assert all_of(db, "SELECT x FROM t") == [(2,)]
+    db.execute("INSERT INTO t VALUES (1)")
+    assert all_of(other, "SELECT x FROM t") == [(1,), (2,)]
+
+
+def test_a_crash_between_steps_loses_nothing(db, monkeypatch):
+    db.execute("CREATE TABLE t (x INT); INSERT INTO t VALUES (1)")
+    root, files = db.catalog.root, db.catalog.files
+    for step in ("write_new", "_part"):
+        with monkeypatch.context() as m:
+            def broken(*a, **b):
+                raise RuntimeError("lost")
+
+            m.setattr(files if step == "write_new" else db.catalog, step, broken)
+            with pytest.raises(RuntimeError):
+                db.execute("INSERT INTO t VALUES (2)")
+        again = Engine(db.spark, root)
+        assert all_of(again, "SELECT x FROM t") == [(1,)]
+        db = again
+        files = db.catalog.files
+    files.delete(f"{root}/catalog")
+    with pytest.raises(EngineError):
+        Engine(db.spark, root)
+
+
+def test_statements_leave_no_temporary_folders(db):
+    db.execute(USERS + "; INSERT INTO users (name) VALUES ('a'), ('b'); UPDATE users SET score = 1; DELETE FROM users WHERE name = 'a'")
+    assert not [n for n in db.catalog.files.names(db.catalog.root) if n.startswith("tmp-")]
