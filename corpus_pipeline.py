@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarnwick.llm import decontamination, mixing, quality, sharding, simhash
 from tarnwick.llm.common import staged, table
@@ -19,7 +18,7 @@ from tarnwick.llm.common import staged, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts; it learns from the labelled rows outside the held-out remainder."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).filter(F.col("quality_score") >= 0.5).select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
