@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
+from ..sources.scratch import new_folder
 
 #: Arrow batches hold at most so many bytes, whatever the rows' number: very long texts come in small batches.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 
 def in_batches(df: DataFrame) -> DataFrame:
@@ -33,10 +22,6 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
@@ -54,6 +39,18 @@ def dropped(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go as soon as it has ended; its result must lie in the shared folder by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda variable is bound to it, which the optimiser does not inline."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -77,7 +74,7 @@ def hash_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
 
 
 def sampled_labels(labels: DataFrame, column: str, modulus: int, held: int, per_class: int) -> DataFrame:
-    """At most per_class rows (doc_id, y) of either label, by the order of a hash of doc_id.
+    """At most per_class rows (doc_id, y, w) of either label, by the order of a hash of doc_id; w: the rows of the label that each stands for.
 
     Rows with a null id or label give nothing; several labels of one id count as their rounded mean;
     ids in the held-out remainder are left out.  The result has a fixed bound, so it may be broadcast.
@@ -88,7 +85,8 @@ def sampled_labels(labels: DataFrame, column: str, modulus: int, held: int, per_
         .groupBy("doc_id")
         .agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     )
-    parts = [hash_sample(ids.filter(F.col("y") == y), per_class, "doc_id") for y in (0, 1)]
+    sizes = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [hash_sample(ids.filter(F.col("y") == y), per_class, "doc_id").withColumn("w", F.lit(max(1.0, sizes.get(y, 0) / per_class))) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
