@@ -12,13 +12,14 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def import_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, delimiter: str = ",") -> DataFrame:
-    """A CSV file; give a schema for large files, else types are inferred in one more pass."""
-    reader = spark.read.option("header", header).option("sep", delimiter).option("escape", '"').option("multiLine", True)
+def import_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, delimiter: str = ",", line_breaks: bool = False) -> DataFrame:
+    """A CSV file; give a schema for large files, else types are inferred in one more pass.  line_breaks: fields may hold some, and no file can be split."""
+    reader = spark.read.option("header", header).option("sep", delimiter).option("escape", '"').option("multiLine", line_breaks)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def import_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+def import_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = True) -> DataFrame:
+    """A JSON document on each line; lines=False for files that are one document or array each, which cannot be split."""
     reader = spark.read.option("multiLine", not lines)
     return reader.schema(schema).json(path) if schema else reader.json(path)
 

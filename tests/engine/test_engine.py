@@ -183,7 +183,7 @@ def test_files(spark, tmp_path):
     files.export_csv(df, f"file://{tmp_path}/c")
     files.export_json(df, f"file://{tmp_path}/j")
     key = lambda d: sorted(map(tuple, d.collect()))
-    assert key(files.import_csv(spark, f"file://{tmp_path}/c", "k int, t string")) == key(df)
+    assert key(files.import_csv(spark, f"file://{tmp_path}/c", "k int, t string", line_breaks=True)) == key(df)
     assert key(files.import_json(spark, f"file://{tmp_path}/j", "k int, t string", lines=True)) == key(df)
     assert files.preview(df, 1) == [{"k": 1, "t": 'a "q", b\nc'}]
 
