@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import infoschema
 from .catalog import Catalog
-from .dialect.parser import Parser, Statement, name_sql, string_sql
+from .dialect.parser import Parser, Statement, name_sql, string_sql, unparsable
 from .dml import changes
 from .dml.changes import RID
 from .dml.constraints import check_parents, check_rows, check_unique, unique_keys
@@ -65,8 +65,18 @@ class Engine:
         result = Result()
         while parser.token.kind != "end":
             parser.functions = {f.upper() for f in self.catalog.state["functions"]}
-            s = parser.statement()
-            result = self.run(s, args)
+            at, positional = parser.i, parser.positional
+            while True:
+                s = parser.statement()
+                try:
+                    result = self.run(s, args)
+                    break
+                except Exception as e:
+                    text = unparsable(e)
+                    if s.kind != "query" or text is None or text in parser.as_text:
+                        raise
+                    parser.as_text.add(text)
+                    parser.i, parser.positional = at, positional
             parser.session["CHANGES"] = f"{self.changed}L"
             if self.last_id is not None:
                 parser.session["LAST_INSERT_ROWID"] = f"{self.last_id}L"
@@ -164,7 +174,9 @@ class Engine:
     # queries
 
     def _query(self, s: Statement, args: dict) -> Result:
-        return Result(self.sql(s.sql, args))
+        df = self.sql(s.sql, args)
+        df._jdf.queryExecution().optimizedPlan()  # texts that do not parse show here
+        return Result(df)
 
     def _explain(self, s: Statement, args: dict) -> Result:
         return Result(self.spark.createDataFrame(plan_rows(self.sql(s.sql, args)), "id int, parent int, detail string"))

@@ -257,6 +257,10 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "export_json": (exported("json"), """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation"""),
     "engine_dump": (dumped, "SELECT r_regionkey AS k, r_name AS t, (SELECT count(*) FROM nation) AS children FROM region"),
     "engine_parameters": (script("", "SELECT c_custkey, c_name || @tail AS t FROM customer WHERE c_acctbal > @low AND c_nationkey IN (@a, @b)", "customer", params={"tail": "!", "low": 500, "a": 3, "b": 11}), "SELECT c_custkey, c_name || '!' AS t FROM customer WHERE c_acctbal > 500 AND c_nationkey IN (3, 11)"),
+    "engine_unparsable_text": (
+        script("", "SELECT o_orderkey, o_orderdate <> 'someday' AS a, o_custkey = 'x' AS b, NULLIF(o_custkey, 7) <> 'y' AS c FROM orders WHERE o_totalprice <> 'nope' AND o_custkey > '50'", "orders"),
+        "SELECT o_orderkey, true AS a, false AS b, CASE WHEN o_custkey <> 7 THEN true END AS c FROM orders WHERE o_custkey > 50",
+    ),
     "engine_clock": (
         script("", "SELECT n_nationkey, NOW() IS NOT NULL AND YEAR(NOW()) > 2020 AS a, CURRENT_DATE = CAST(NOW() AS DATE) AS b, LOCALTIMESTAMP() IS NOT NULL AS c, LOCALDATE() IS NOT NULL AS d, LOCALTIME() IS NOT NULL AS e, CURRENT_TIME IS NOT NULL AS f, CURRENT_TIMESTAMP >= TODATE('2020-01-01') AS g, MILLISECOND(CAST('2024-01-02 03:04:05.678' AS DATETIME)) AS h, TODATE('2024-02-30') IS NULL AS i FROM nation", "nation"),
         "SELECT n_nationkey, true AS a, true AS b, true AS c, true AS d, true AS e, true AS f, true AS g, 678 AS h, true AS i FROM nation",
