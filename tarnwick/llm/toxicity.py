@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import strings
-from .common import remainder, sampled_labels
+from .common import in_batches, remainder, sampled_labels
 
-#: At most so many labelled rows of either class are learnt from.
+#: At most so many labelled rows of either class are learnt from; each weighs as many rows of its class as it stands for.
 SAMPLE_PER_CLASS = 8000
 #: At most so many features are kept, by their likelihood ratio.
 FEATURES = 4096
@@ -102,8 +102,8 @@ class Model:
         return 1 - clean, spans
 
 
-def _learn(bags: list[tuple[int, int, list[tuple[str, ...]]]], start: dict[str, float], penalty: float, steps: int = 300) -> Model:
-    """Penalised likelihood of the document labels under noisy-or, by Adam on the sentence weights; bags: (label, copies, sentences)."""
+def _learn(bags: list[tuple[int, float, list[tuple[str, ...]]]], start: dict[str, float], penalty: float, steps: int = 300) -> Model:
+    """Penalised likelihood of the document labels under noisy-or, by Adam on the sentence weights; bags: (label, rows that it stands for, sentences)."""
     names = {f: i for i, f in enumerate(sorted(start))}
     y, copies = np.array([b[0] for b in bags], dtype=float), np.array([b[1] for b in bags], dtype=float)
     inst_doc = np.array([d for d, (_, _, xs) in enumerate(bags) for _ in xs], dtype=np.int64)
@@ -153,13 +153,15 @@ def _chosen_penalty(bags: list[tuple[int, int, list[tuple[str, ...]]]], start: d
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from a bounded sample of labelled rows outside the held-out remainder."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", modulus, held, per_class)), "doc_id")
+    rows = in_batches(docs).select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", modulus, held, per_class)), "doc_id")
     words = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
-    rows = rows.groupBy(words.alias("words"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r"), F.count("*").alias("n")).select("r.*", "y", "n")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    rows = rows.groupBy(words.alias("words"), "y").agg(F.min(F.struct("doc_id", "text")).alias("r"), F.count("*").alias("n"), F.max("w").alias("w")).select("r.*", "y", "n", "w")
+    sizes = {r.y: r for r in rows.groupBy("y").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("all")).collect()}
+    pos, neg = (sizes[y].n if y in sizes else 0 for y in (1, 0))
+    true = [sizes[y]["all"] if y in sizes else 0 for y in (1, 0)]
+    constant = Model({}, -9.0, (true[0] + 1) / (sum(true) + 2))
     if not pos or not neg:
-        return Model({}, -9.0, (pos + 1) / (pos + neg + 2))
+        return constant
     a, b = F.col("pos"), F.col("neg")
     rate = (a + 0.5) / (b + 0.5) * (neg / pos)
     part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
@@ -179,14 +181,15 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
             break
     start = {r.feature: math.log(r.rate) / 2 for r in chosen}
     if not start:
-        return Model({}, -9.0, (pos + 1) / (pos + neg + 2))
+        return constant
     finder = Model(start, 0.0, 0.0)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "n": pdf["n"], "bag": [[list(x) for x in sorted({f for _, _, f in finder.instances(t)})] for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "n": pdf["n"] * pdf["w"], "bag": [[list(x) for x in sorted({f for _, _, f in finder.instances(t)})] for t in pdf["text"]]})
 
-    got = sorted(rows.mapInPandas(bags, "doc_id long, y int, n long, bag array<array<string>>").collect(), key=lambda r: r.doc_id)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sorted(rows.mapInPandas(bags, f"doc_id {kind}, y int, n double, bag array<array<string>>").collect(), key=lambda r: (r.doc_id, r.y, r.bag))
     learnt = [(r.y, r.n, [tuple(x) for x in r.bag]) for r in got]
     return _learn(learnt, start, _chosen_penalty(learnt, start))
 
@@ -202,7 +205,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, offending array<struct<begin:int,end:int,score:double>>")
+    return in_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, offending array<struct<begin:int,end:int,score:double>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
