@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, staged
+from .common import in_batches, new_folder, staged
 
 REVISIT_FROM = 1000
 ARC_DATE, ARC_IP, NO_URL = "20200101000000", "0.0.0.0", "urn:x-no-url"
+#: Records of an archive file at most: a file is parsed by one task.
+FILE_RECORDS = 20_000
 #: Winners of more payloads than this are joined by shuffling.
 BROADCAST_ROWS = 200_000
 _URL_SAFE = "/:?#[]@!$&'()*+,;=%~-._"
@@ -186,13 +188,19 @@ def write_arc(pages: DataFrame, folder: str) -> None:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        version, name, first = part % 2 + 1, f"pages-{part:05d}.arc", True
+        version, name, held = part % 2 + 1, f"pages-{part:05d}.arc", 0
         for batch in batches:
-            out = [arc_record(version, r["page_id"], r["url"], r["html"], name) for r in batch.to_pylist()]
-            yield _values([arc_version_block(version, name)] * first + out)
-            first = False
+            out = []
+            for r in batch.to_pylist():
+                if held % FILE_RECORDS == 0:  # the writer begins a file after so many rows, and a file begins with its version block
+                    out.append(arc_version_block(version, name))
+                    held += 1
+                out.append(arc_record(version, r["page_id"], r["url"], r["html"], name))
+                held += 1
+            yield _values(out)
 
-    pages.select("page_id", "url", "html").mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    rows = in_batches(pages).select("page_id", "url", "html").mapInArrow(run, "value string")
+    rows.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,7 +256,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, revisit_from
     else:  # more repeated payloads than may be sent to every task
         cut = files.mapInArrow(split, _ddl(CUT))
         rows = cut.join(winners, "digest", "left").mapInArrow(assemble, "value string")
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_folder)
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(warc_folder)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:

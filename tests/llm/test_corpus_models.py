@@ -176,7 +176,7 @@ def test_scores(spark, sf):
 
 def test_states_are_distributions():
     """Every state's probabilities sum to 1 over the words, the unknown ones included; scoring uses the longest kept suffix."""
-    from tarnwick.llm import suffixtree
+    import plain_tree
 
     names, rng = [f"w{i}".encode() for i in range(6)], np.random.default_rng(2)
     seq, word = [], 0
@@ -186,7 +186,7 @@ def test_states_are_distributions():
     ids = {w: i for i, w in enumerate(names, 1)}
     count = np.array([1.0, *[seq.count(w) for w in names]])
     total, distinct = count.sum(), 7
-    tree = suffixtree.Tree(ids, np.log10((count + 0.1) / (total + 0.1 * (distinct + 1))))
+    tree = plain_tree.Tree(ids, np.log10((count + 0.1) / (total + 0.1 * (distinct + 1))))
     numbers = [ids[w] for w in seq]
     for depth in (1, 2):
         joint = Counter()
@@ -210,40 +210,58 @@ def test_states_are_distributions():
     assert states[0] == 0 and states[1] > 0 and states[ends[0]] == 0 and list(ends) == [51, 52, 56] and states[54] == 0
 
 
-def test_scores_equal_the_tree(spark, sf):
+@pytest.mark.parametrize("depth", [2, 3])
+def test_scores_equal_the_tree(spark, sf, depth):
     """Every context and next word seen twice is weighed, whatever its share of the tokens: as the tree in one place has it."""
+    import plain_tree
+
     from tarnwick.llm import suffixtree
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    rows += [(9000 + i, "zqa zqb zqc zqd") for i in range(3)] + [(9100 + i, "zqd zqb zqa zqc") for i in range(3)]
+    rows += [(9000 + i, "zqa zqb zqc zqd") for i in range(3)] + [(9100 + i, "zqd zqb zqa zqc") for i in range(3)] + [(9200, None), (9201, " \n"), (9202, "only here unseenword")]
     held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
-    texts = [suffixtree.words_of(t) for d, t in rows if not held(d)]
+    texts = [plain_tree.words_of(t) for d, t in rows if not held(d)]
     c = Counter(w for ws in texts for w in ws)
     total, names = sum(c.values()) + len(texts), sorted(c)
     ids = {w: i for i, w in enumerate(names, 1)}
     count = np.array([len(texts), *[c[w] for w in names]], dtype=float)
-    tree = suffixtree.Tree(ids, np.log10((count + 0.1) / (total + 0.1 * (len(names) + 2))))
+    tree = plain_tree.Tree(ids, np.log10((count + 0.1) / (total + 0.1 * (len(names) + 2))))
     seqs, size = [[*[ids[w] for w in ws], 0] for ws in texts], {i: c[w] for w, i in ids.items()}
     key = lambda xs: sum(x * tree.span ** (len(xs) - 1 - k) for k, x in enumerate(xs))
-    for depth in (1, 2):
-        joint = Counter((key(s[i - depth : i]), s[i]) for s in seqs for i in range(depth, len(s)))
+    for d in range(1, depth + 1):
+        joint = Counter((key(s[i - d : i]), s[i]) for s in seqs for i in range(d, len(s)))
         joint = {k: n for k, n in joint.items() if n >= 2}
         keys = np.array(sorted({k for k, _ in joint}))
         owner = np.array([np.searchsorted(keys, k) for k, _ in joint])
         tree.grow(keys, np.array([size[k] for k in keys], dtype=float), owner, np.array([w for _, w in joint]), np.array(list(joint.values()), dtype=float))
         size = {k * tree.span + w: n for (k, w), n in joint.items() if w}
+    assert all(len(keys) for keys, _ in tree.levels)
     unknown = math.log10(0.1 / (total + 0.1 * (len(names) + 2)))
     want = {}
     for d, t in rows:
         seq, _, _ = tree.sequence([t])
         want[d] = tree.log10(tree.states(seq), seq).sum() + (seq < 0).sum() * unknown
-    for most in (suffixtree.MOST_FREQUENT, 50):
+    small = {"MOST_FREQUENT": 50, "PLACES": 16, "SLICE": 500, "FLUSH": 900, "BUCKET": 700}
+    for change in ({}, small) if depth == 2 else (small | {"ROUNDS": 3},):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(suffixtree, "MOST_FREQUENT", most)
-            got = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(rows, "doc_id long, text string"), depth=2).collect()}
+            for k, v in change.items():
+                m.setattr(suffixtree, k, v)
+            got = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
         assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-6
 
 
+def test_words_beyond_the_vocabulary_end_contexts(spark, sf, monkeypatch):
+    """With few words in contexts base scores are as before, and grams of other words change nothing."""
+    from tarnwick.llm import suffixtree
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = {r.doc_id: r for r in suffixtree.scored(docs).collect()}
+    monkeypatch.setattr(suffixtree, "VOCABULARY", 40)
+    few = {r.doc_id: r for r in suffixtree.scored(docs).collect()}
+    assert all(abs(few[d].base_score - r.base_score) < 1e-6 and (few[d].n_known, few[d].n_tokens) == (r.n_known, r.n_tokens) for d, r in whole.items())
+    assert sum(r.base_score for r in few.values()) < sum(r.score for r in few.values()) < sum(r.score for r in whole.values())
+
+
 # token counts
 
 
@@ -366,3 +384,92 @@ def test_compiled_rules_equal_the_model(spark):
     assert np.abs(got - want).max() < 1e-9
     assert ((got >= 0.5) == (y > 0)).mean() > 0.97
     assert len(rules) < 200
+
+
+def plain_noisy_or(model, text):
+    """A document's score from the model's weights, sentence by sentence, each word by itself."""
+    import re
+
+    edges, clean = ".,;:!?*#$%&|\"'()[]{}<>-_/\\`~+=", 1 - model.leak
+    for sentence in re.findall(r"[^.!?\n]+[.!?]*", (text or "").lower()):
+        names = set()
+        for word in sentence.split():
+            w = word.strip(edges)
+            names |= {w, w[:4] + "~"} if len(w) >= 4 else {w}
+        z = [model.weights[n] for n in names if n in model.weights]
+        if z:
+            clean *= 1 - 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(z)))))
+    return 1 - clean
+
+
+def test_toxicity_scores_are_noisy_or(spark, sf):
+    from tarnwick.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    odd = odd_docs(spark).select("doc_id", "text")
+    model = toxicity.train(docs, labels)
+    texts = docs.select("doc_id", "text").unionByName(odd)
+    want = Counter((r.doc_id, round(plain_noisy_or(model, r.text), 9)) for r in texts.collect())
+    assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.scored(texts, model).collect()) == want
+    out = toxicity.classify(docs, labels)
+    hit = {(r.toxic, r.predicted): r["count"] for r in out.join(labels, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()}
+    assert hit.get((0, 1), 0) <= 0.02 * sum(n for (y, _), n in hit.items() if not y)
+
+
+def test_quality_scores_equal_the_rules(spark, sf):
+    """The whole query against the fitted rules applied in plain Python; columns of any name stay; hopeless labels give the rate."""
+    from pyspark.sql import functions as F
+    from test_corpus_native import CLASHES, clashing
+
+    from tarnwick.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    base, rules = model = quality.train(docs, labels)
+    want = {}
+    for r in docs.collect():
+        s = quality.statistics(r.text)
+        z = base + sum(w for rule, w in rules if all((s[f] <= cut) == low for f, low, cut in rule))
+        want[r.doc_id] = 1 / (1 + math.exp(-z))
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d].score - p) < 1e-9 and got[d].predicted == (p >= 0.5) for d, p in want.items())
+    kept = quality.accepted(clashing(docs), model)
+    assert kept.columns == clashing(docs).columns and {r.doc_id for r in kept.collect()} == {d for d, p in want.items() if p >= 0.5}
+    assert kept.select(*CLASHES).distinct().count() == 1
+    for text in (None, "the same words for all"):
+        same = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+        out = quality.classify(same, spark.range(60).selectExpr("id AS doc_id", "cast(id % 3 = 0 as int) AS quality")).collect()
+        assert len(out) == 60 and len({r.score for r in out}) == 1 and 0.2 < out[0].score < 0.45
+
+
+def test_sampled_classes_keep_their_shares(spark):
+    """A class beyond the sample's bound counts by what its rows stand for."""
+    from pyspark.sql import functions as F
+
+    from tarnwick.llm import quality
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text here").otherwise("ONE OTHER TEXT !!!").alias("text"))
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 10 < 9 as int) AS quality")
+    for per_class in (6000, 150):
+        model = quality.train(docs, labels, per_class=per_class)
+        rate = quality.scored(docs.filter("doc_id = 1"), model).select(F.col(quality.SCORE).alias("s")).first().s
+        assert 0.7 < rate < 0.9  # 0.8 of these texts have label 1
+
+
+def test_neighbours_of_few_vectors_use_the_curves(spark):
+    from tarnwick.llm import neighbours
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], every=5)
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, every=5).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(i in got[q] for q, xs in want.items() for i, _ in xs) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_archives_of_many_files(spark, sf, monkeypatch):
+    from tarnwick.llm import archives
+
+    monkeypatch.setattr(archives, "FILE_RECORDS", 7)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in archives.archived(pages.coalesce(2)).collect())
+    assert got == plain_archive([(r.page_id, r.html) for r in pages.collect()])

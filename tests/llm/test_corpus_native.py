@@ -299,6 +299,38 @@ def test_sharding(spark, sf, which):
     assert all(max(g) - min(g) == len(g) - 1 for g in groups.values())  # copies lie side by side
 
 
+def test_sharding_many_ranges_and_small_groups(spark, sf, monkeypatch):
+    """Ranges follow the rows, splitters go through both levels, overfull ranges are subdivided, small groups of copies stay whole."""
+    from pyspark.sql import functions as F
+
+    from tarnwick.llm import sharding
+
+    monkeypatch.setattr(sharding, "ROWS", 10)
+    monkeypatch.setattr(sharding, "COARSE", 5)
+    monkeypatch.setattr(sharding, "OVERFULL", 1.2)
+    docs = clashing(spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 4), F.repeat(F.lit("x"), (F.floor(F.col("id") / 4) % 50).cast("int"))).alias("text")))
+    got = rows(sharding.sharded(docs))
+    assert len(got) == 20_000 and len({(r["shard"], r["slot"]) for r in got}) == 20_000
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["text_crc32"]].add(r["shard"])
+    assert all(len(g) == 1 for g in groups.values())
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    assert max(sums.values()) - min(sums.values()) < 0.03 * sum(sums.values()) / 24
+
+
+def test_mixing_and_deduplication_keep_columns_of_any_name(spark, sf):
+    from tarnwick.llm import mixing, simhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for f in (mixing.repeated, simhash.deduplicated):
+        own = f(clashing(docs))
+        assert own.columns == clashing(docs).columns and own.select(*CLASHES).distinct().collect() == [tuple(f"own {c}" for c in CLASHES)]
+        assert sorted(r.doc_id for r in own.collect()) == sorted(r.doc_id for r in f(docs).collect())
+
+
 def test_sharding_empty(spark):
     from tarnwick.llm import sharding
 
