@@ -8,6 +8,7 @@ fingerprints at distance r or less meet in some leaf.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -37,22 +38,19 @@ class Tree:
     """The upper part of the tree, grown on a sample; its leaves are the shards."""
 
     def __init__(self, sample: np.ndarray, leaves: int, radius: int, seed: int = 11):
-        self.radius, self.nodes, rng = radius, [], np.random.default_rng(seed)
-        self.leaves, todo = 1, [(len(sample), -1, 0, sample)]
-        self.nodes.append(None)  # None: a leaf
-        done = []
+        self.radius, self.nodes, rng = radius, [None], np.random.default_rng(seed)  # None: a leaf
+        self.leaves, todo = 1, [(-len(sample), 0, sample)]
         while todo and self.leaves < leaves:
-            todo.sort(key=lambda x: -x[0])
-            size, _, at, members = todo.pop(0)
-            if size < 8 or (cut := _split(members, radius, rng)) is None:
-                done.append(at)
+            size, at, members = heapq.heappop(todo)  # the largest; numbers of nodes differ, so members are never compared
+            if -size < 8 or (cut := _split(members, radius, rng)) is None:
                 continue
             d = distance(members, cut[0])
             left, right = members[d <= cut[1]], members[d > cut[1] - radius]
             low, high = len(self.nodes), len(self.nodes) + 1
             self.nodes[at] = (cut[0], cut[1], low, high)
             self.nodes += [None, None]
-            todo += [(len(left), at, low, left), (len(right), at, high, right)]
+            heapq.heappush(todo, (-len(left), low, left))
+            heapq.heappush(todo, (-len(right), high, right))
             self.leaves += 1
 
     def route(self, fps: np.ndarray) -> list[tuple[int, np.ndarray]]:
