@@ -28,8 +28,8 @@ ORDERINGS, PROJECTED, BITS, WINDOW, RANGES = 8, 4, 10, 0.085, 50
 SAMPLE = 20_000
 #: Most rows, and most queries, that are compared in one task at once; larger ranges are dealt to several.
 BLOCK = 4096
-#: Up to so many distinct vectors there is one range: every row is compared.
-SMALL = 1000
+#: Vectors in a range at least: few vectors make fewer ranges.
+RANGE_ROWS = 16
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -105,9 +105,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, orderings: int = OR
     n, n_queries = points.count(), queries.count()
     if not n or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranges = 1 if n <= SMALL else RANGES
-    orderings = 1 if ranges == 1 else orderings
-    around = int(np.ceil(window * ranges)) if ranges > 1 else 0
+    ranges = max(1, min(RANGES, n // RANGE_ROWS))
+    around = int(np.ceil(window * ranges))
     sample = np.array([r.v for r in hash_sample(points.select("gid", "v"), SAMPLE, "gid").collect()])
     index = Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), sample.shape[1], ranges, orderings)
     parts = -(-n // (ranges * BLOCK))  # a range's rows are dealt to so many tasks,
@@ -136,6 +135,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, orderings: int = OR
                         # windows end at the ends of the curve: what is lost on one side is added on the other
                         low = np.clip(at - around, 0, max(0, ranges - 1 - 2 * around))
                         there = low + step + around
+                        if step + around >= ranges:
+                            break
                         for part in range(parts):
                             yield pd.DataFrame({"block": ((o * ranges + there) * parts + part) * decks + deck, "query_id": pdf["vec_id"], "ids": None, "v": pdf["v"]})
 
