@@ -145,13 +145,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs as often as its copies say, with the columns of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    plan = staged(planned(docs).filter("copies > 0 or same > 1").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "rn", "same", F.col("copies").alias("__c")), "plan")
+    plan = planned(docs).filter("copies > 0 or same > 1").select("doc_id", "source", "size", "rn", "same", "copies")
+    plan = staged(plan.toDF("__d", "__s", "__z", "__k", "__same", "__c"), "plan")
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    once = docs.join(plan.filter("same = 1").hint("merge"), on)  # alike at every size
+    once = docs.join(plan.filter("__same = 1").hint("merge"), on)  # alike at every size
     out = once.withColumn("__i", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns)
-    if plan.filter("same > 1").limit(1).count():
-        same = docs.join(plan.filter("same > 1 and rn = 1"), on, "left_semi").withColumn("__size", size)
+    if plan.filter("__same > 1").limit(1).count():
+        same = docs.join(plan.filter("__same > 1 and __k = 1"), on, "left_semi").withColumn("__size", size)
         order = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64(*docs.columns))
-        same = same.withColumn("__rn", F.row_number().over(order)).join(plan.filter("same > 1 and __c > 0"), on & (F.col("__rn") == F.col("rn")))
+        same = same.withColumn("__rn", F.row_number().over(order)).join(plan.filter("__same > 1 and __c > 0"), on & (F.col("__rn") == F.col("__k")))
         out = out.unionByName(same.withColumn("__i", F.explode(F.sequence(F.lit(1), "__c"))).select(docs.columns))
     return out
