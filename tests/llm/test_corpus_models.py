@@ -262,6 +262,48 @@ def test_words_beyond_the_vocabulary_end_contexts(spark, sf, monkeypatch):
     assert sum(r.base_score for r in few.values()) < sum(r.score for r in few.values()) < sum(r.score for r in whole.values())
 
 
+def test_words_not_at_hand_are_in_contexts(spark):
+    """540,000 words, each three times: more than every task knows, and all of them states."""
+    from tarnwick.llm import suffixtree
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(540)) for i in range(1000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(3 * texts)], "doc_id long, text string")
+    got = [r.score for r in suffixtree.scored(docs, modulus=1, held=1).collect()]
+    first = math.log10(3.1 / (3000 * 541 + 0.1 * (540_001 + 1)))  # by the root; then a word and its only next one, or the end
+    want = first + 540 * math.log10((3 - suffixtree.DISCOUNT) / 3)
+    assert len(got) == 3000 and max(abs(s - want) for s in got) < 1e-6
+
+
+@pytest.mark.parametrize("depth, change", [(2, {"AT_HAND": 40, "ROUNDS": 2}), (3, {"AT_HAND": 1, "SLICE": 500, "FLUSH": 900, "BUCKET": 700, "MOST_FREQUENT": 50, "PLACES": 16})])
+def test_scores_do_not_depend_on_the_words_at_hand(spark, sf, monkeypatch, depth, change):
+    from tarnwick.llm import suffixtree
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd_docs(spark).select("doc_id", "text"))
+    rounded = lambda: Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffixtree.scored(docs, depth=depth).collect())
+    want = rounded()
+    for k, v in change.items():
+        monkeypatch.setattr(suffixtree, k, v)
+    assert rounded() == want
+
+
+@pytest.mark.parametrize("length, bits", [(2, 31), (3, 21), (3, 24), (3, 31), (4, 21)])
+def test_grams_as_numbers(length, bits):
+    """Grams whose words take few bits are one number, in their order; of the others none is mistaken for one."""
+    from tarnwick.llm import suffixtree
+
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 1 << rng.integers(1, bits + 1, (length, 3000)))
+    words[:, 0] = (1 << bits) - 1
+    context = np.zeros(3000, np.int64)
+    for w in words[:-1]:
+        context = context << bits | w
+    code, fits = suffixtree._coded(context, words[-1], length, bits)
+    assert (fits == (words.max(0) < 1 << 63 // length) | (length * bits <= 63)).all()
+    back = suffixtree._decoded(code[fits], length, bits)
+    assert (back[0] == context[fits]).all() and (back[1] == words[-1][fits]).all()
+    assert (np.diff(context[fits][np.argsort(code[fits])]) >= 0).all()
+
+
 # token counts
 
 
